@@ -28,29 +28,47 @@ def amount(text: str) -> str:
     return value.rstrip("0").rstrip(".") if "." in value else value
 
 
+def pieces(raw: str) -> tuple[tuple[str, str], ...]:
+    """(kind, value) of the tokens within one space-free lower-case string."""
+    out = []
+    for m in TOKEN.finditer(raw):
+        kind, value = m.lastgroup, m.group()
+        if kind == "word":
+            if value not in UNITS:
+                out.append(("word", SHORT.get(value, value)))
+        elif kind == "num":
+            out.append((kind, amount(value)))
+        else:
+            out.append((kind, value.replace("_", "-")))
+    return tuple(out)
+
+
+#: How many different strings a worker remembers; beyond that it starts anew.
+REMEMBERED = 200_000
+_known: dict[str, tuple[tuple[str, str], ...]] = {}
+
+
 def tokens(text: str | None) -> tuple[list[str], list[str], list[str]]:
-    """Plain words in order, data names, and amounts of a text; of null and blank text nothing."""
+    """Plain words and paragraph names in order, data names, and amounts of a text; of null and blank text nothing."""
     words: list[str] = []
     names: list[str] = []
     amounts: list[str] = []
     if not text:
         return words, names, amounts
-    for m in TOKEN.finditer(text.lower()):
-        kind, value = m.lastgroup, m.group()
-        if kind == "word":
-            if value not in UNITS:
-                words.append(SHORT.get(value, value))
-        elif kind == "num":
-            amounts.append(amount(value))
-        elif kind == "name":
-            names.append(value.replace("_", "-"))
-        else:
-            words.append(value)
+    into = {"word": words.append, "para": words.append, "name": names.append, "num": amounts.append}
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    for raw in text.lower().split():
+        own = _known.get(raw)
+        if own is None:
+            own = _known[raw] = pieces(raw)
+        for kind, value in own:
+            into[kind](value)
     return words, names, amounts
 
 
 def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the words. ``cache`` is cleared by the caller between batches."""
+    """Sorted distinct 32-bit hashes of the words. ``cache`` belongs to the caller's batch."""
     out = set()
     for w in words:
         h = cache.get(w)
