@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
+from ruleloom.llm.survivor import confidence_level, golden, reference_level, survivors
+from ruleloom.llm.truncation import truncated
+from ruleloom.plans.lineage import settle
 from ruleloom.sources.tables import table
 
 
@@ -23,6 +26,52 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs_of(groups).select(F.col("a").alias("rule_id_a"), F.col("b").alias("rule_id_b"))
 
 
+#: Log-odds beyond which a value counts as cut, by (language, column); others take the default.
+CUT_THRESHOLDS = {("", "description"): 2.5, ("", "migration_notes"): 2.5}
+CUT_FIELDS = ["description", "migration_notes"]
+MERGED_FIELDS = ["description", "confidence", "source_reference", "migration_notes"]
+
+
+def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+    models = table(spark, folder, "sessions").select("session_id", "model_used")
+    rules = table(spark, folder, "rules").select("rule_id", "session_id", "source_reference", *CUT_FIELDS).join(models, "session_id", "left")
+    return truncated(rules, CUT_FIELDS, "rule_id", "model_used", context=("source_reference",), thresholds=CUT_THRESHOLDS)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that were cut."""
+    return _cuts(spark, folder).where("is_cut").select(F.col("id").alias("rule_id"), F.col("field").alias("field_name"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each model and column the values and the share of them that are cut."""
+    cuts = _cuts(spark, folder).groupBy(F.col("source").alias("model_used"), F.col("field").alias("field_name"))
+    return cuts.agg(F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), F.avg(F.col("is_cut").cast("int")).alias("cut_share"))
+
+
+def _winners(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rules = table(spark, folder, "rules")
+    groups = near_duplicates(rules, "rule_id", "description")
+    cuts = _cuts(spark, folder).groupBy("id").pivot("field", CUT_FIELDS).agg(F.first(F.col("is_cut").cast("int")))
+    cuts = cuts.select("id", *[F.col(f).alias(f"{f}_level") for f in CUT_FIELDS])
+    rules = rules.select("rule_id", "extracted_at", *MERGED_FIELDS).join(cuts, F.col("rule_id") == F.col("id"), "left").drop("id")
+    levels = {f: F.col(f"{f}_level") for f in CUT_FIELDS}
+    levels |= {"confidence": confidence_level(F.col("confidence")), "source_reference": reference_level(F.col("source_reference"))}
+    return survivors(rules, groups, "rule_id", "extracted_at", levels), rules
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For each group of near-duplicates and field the row whose value survives."""
+    winners, _ = _winners(spark, folder)
+    return winners.select(F.col("group_id").alias("group_rule_id"), F.col("field").alias("field_name"), F.col("id").alias("rule_id"))
+
+
+def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """One surviving rule a group, each field with its best value."""
+    winners, rules = _winners(spark, folder)
+    return golden(settle(winners, "winners"), rules, "rule_id", MERGED_FIELDS).withColumnRenamed("group_id", "group_rule_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
