@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.llm.entity_match import match
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
 from ruleloom.llm.survivor import confidence_level, golden, reference_level, survivors
 from ruleloom.llm.truncation import truncated
@@ -14,6 +15,22 @@ from ruleloom.plans.lineage import settle
 from ruleloom.sources.tables import table
 
 
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    rules = table(spark, folder, "rules").select(F.col("rule_id").alias("id"), "label", F.col("description").alias("text"), "type")
+    entries = table(spark, folder, "gt_rules").select(F.col("gt_id").alias("id"), F.col("rule_text").alias("text"))
+    return match(rules, entries)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ground-truth entries and the rules that state the same: same field, amount and kind of logic."""
+    return _matches(spark, folder).where("same").select(F.col("entry_id").alias("gt_id"), "rule_id")
+
+
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """All proposed pairs with their calibrated confidence, near misses included."""
+    return _matches(spark, folder).select(F.col("entry_id").alias("gt_id"), "rule_id", F.round("cosine", 4).alias("cosine"), F.round("confidence", 4).alias("confidence"), "same")
+
+
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each rule with a description and the group of near-identical descriptions it belongs to."""
     groups = near_duplicates(table(spark, folder, "rules"), "rule_id", "description")
