@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.entity_match import match
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
+from ruleloom.llm.packing import items, pack
+from ruleloom.llm.splitting import header_lines, pieces
 from ruleloom.llm.survivor import confidence_level, golden, reference_level, survivors
 from ruleloom.llm.truncation import truncated
 from ruleloom.plans.lineage import settle
@@ -89,6 +91,43 @@ def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return golden(settle(winners, "winners"), rules, "rule_id", MERGED_FIELDS).withColumnRenamed("group_id", "group_rule_id")
 
 
+def _limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, folder, "chunk_limits").where(F.col("purpose") == purpose).select("capacity_chars", "overlap_lines").first()
+    return int(row[0]), int(row[1] or 0)
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.col("file_name").alias("name"), "label", "start_line", F.col("source_text").alias("text"))
+
+
+def p5_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt of each chunk, with its line range; only a chunk beyond the limit is divided."""
+    capacity, _ = _limit(spark, folder, "pack")
+    packed = pack(items(_texts(spark, folder), capacity), capacity)
+    return packed.select(F.col("container").alias("prompt_id"), F.col("id").alias("chunk_id"), "piece_no", "start_line", "end_line", "n_chars")
+
+
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the prompts are: their number, the least possible number, and the share of unused characters."""
+    capacity, _ = _limit(spark, folder, "pack")
+    prompts = p5_prompts(spark, folder).groupBy("prompt_id").agg((F.sum("n_chars") + F.count("*") - 1).alias("used"))
+    total = prompts.agg(F.count("*").alias("n_prompts"), F.sum("used").alias("used"), F.max("used").alias("fullest"))
+    return total.select("n_prompts", F.ceil(F.col("used") / capacity).alias("least_prompts"), F.col("fullest").cast("long").alias("fullest"), (1 - F.col("used") / (F.col("n_prompts") * capacity)).alias("unused_share"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of oversized chunks that open a division, section, paragraph or routine."""
+    capacity, _ = _limit(spark, folder, "split")
+    long = _texts(spark, folder).where(F.length("text") > capacity)
+    return header_lines(long).select(F.col("id").alias("chunk_id"), "line_no").distinct()
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of oversized chunks, each with label and line range; consecutive pieces share lines."""
+    capacity, overlap = _limit(spark, folder, "split")
+    return pieces(_texts(spark, folder), capacity, overlap).withColumnRenamed("id", "chunk_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
