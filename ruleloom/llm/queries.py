@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm.entity_match import match
+from ruleloom.llm.leakage import aligned, leaks
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
 from ruleloom.llm.packing import items, pack
 from ruleloom.llm.splitting import header_lines, pieces
@@ -128,6 +129,18 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(_texts(spark, folder), capacity, overlap).withColumnRenamed("id", "chunk_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat a passage of an evaluation item."""
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+    return found.select("item_id", F.col("id").alias("doc_id")).distinct()
+
+
+def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents and items with a similar passage: the longest aligned run and its errors, leak or not."""
+    found = aligned(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
