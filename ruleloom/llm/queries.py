@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.entity_match import match
 from ruleloom.llm.leakage import aligned, leaks
+from ruleloom.llm.mixing import mixture
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
 from ruleloom.llm.packing import items, pack
 from ruleloom.llm.splitting import header_lines, pieces
@@ -141,6 +142,21 @@ def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return mixture(docs, table(spark, folder, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, once for each copy, with their size in tokens."""
+    return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source, its size, rate and copies."""
+    return _mixed(spark, folder)[1]
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
