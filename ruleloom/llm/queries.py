@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.entity_match import match
@@ -14,6 +14,7 @@ from ruleloom.llm.near_dup import near_duplicates, pairs_of
 from ruleloom.llm.packing import items, pack
 from ruleloom.llm.splitting import header_lines, pieces
 from ruleloom.llm.survivor import confidence_level, golden, reference_level, survivors
+from ruleloom.llm.subjects import document_subjects
 from ruleloom.llm.truncation import truncated
 from ruleloom.plans.lineage import settle
 from ruleloom.sources.tables import table
@@ -157,6 +158,22 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "doc_labels").select(F.col("doc_id").alias("id"), "subject")
+    return document_subjects(table(spark, folder, "documents"), "doc_id", "text", "code_lang", table(spark, folder, "subjects"), labels)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, folder).select(F.col("id").alias("doc_id"), "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The make-up of the corpus: documents of each subject, and its share of all assignments weighted by unit share."""
+    out = _subjects(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight"))
+    return out.withColumn("corpus_share", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
