@@ -55,9 +55,9 @@ MERGED_FIELDS = ["description", "confidence", "source_reference", "migration_not
 
 
 def _cuts(spark: SparkSession, folder: str) -> DataFrame:
-    models = table(spark, folder, "sessions").select("session_id", "model_used")
-    rules = table(spark, folder, "rules").select("rule_id", "session_id", "source_reference", *CUT_FIELDS).join(models, "session_id", "left")
-    return truncated(rules, CUT_FIELDS, "rule_id", "model_used", context=("source_reference",), thresholds=CUT_THRESHOLDS)
+    models = table(spark, folder, "sessions").select(F.col("session_id").alias("key"), F.col("model_used").alias("source"))
+    rules = table(spark, folder, "rules").select("rule_id", "session_id", "source_reference", *CUT_FIELDS)
+    return truncated(rules, CUT_FIELDS, "rule_id", "session_id", context=("source_reference",), sources=models, thresholds=CUT_THRESHOLDS)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

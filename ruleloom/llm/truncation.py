@@ -24,14 +24,14 @@ from ruleloom.llm.ruletext import DATA_NAME, PARAGRAPH
 from ruleloom.plans.lineage import settle
 
 #: Context lengths in characters, short to long.
-ORDERS = (3, 5, 8, 12, 17, 24)
+ORDERS = (4, 8, 15, 24)
 #: log2 of the bits of the bitmap of contexts: 2 MB when shipped, 16 MB in a worker.
 BITMAP_BITS = 24
 #: Words that stand for a missing text.
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "nil", "-", "--", "tbd", "unknown", "?", ".")
 
-_SHAPES = re.compile(rf"(?P<name>\b{DATA_NAME}\b)|(?P<para>\b{PARAGRAPH}\b)|(?P<code>\b[a-z]\d{{2}}\b)|(?P<num>\d[\d,]*(?:\.\d+)?)|(?P<gap>\s+)")
-_STAND_FOR = {"name": "\x01", "para": "\x02", "code": "\x03", "num": "\x04", "gap": " "}
+_SHAPES = re.compile(rf"(?P<name>\b{DATA_NAME}\b)|(?P<para>\b{PARAGRAPH}\b)|(?P<code>\b[a-z]\d{{2}}\b)|(?P<num>\d[\d,]*(?:\.\d+)?)")
+_STAND_FOR = {"name": "\x01", "para": "\x02", "code": "\x03", "num": "\x04"}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -39,7 +39,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def shape(text: str) -> str:
     """Lower case, with one character for each data name, paragraph, code, number and run of white space."""
-    return _SHAPES.sub(lambda m: _STAND_FOR[m.lastgroup], text.strip().lower())
+    return _SHAPES.sub(lambda m: _STAND_FOR[m.lastgroup], " ".join(text.lower().split()))
 
 
 def ending(text: str, companions: str) -> tuple[str, str]:
@@ -57,7 +57,7 @@ def ending(text: str, companions: str) -> tuple[str, str]:
         return norm, "cut"
     if norm[-1:] in ".!?":
         return norm, "done"
-    last = bare.split()[-1].strip("'\"(),;:").lower().replace("_", "-") if bare.split() else ""
+    last = bare[-60:].rpartition(" ")[2].strip("'\"(),;:\n\r\t").lower().replace("_", "-")
     if len(last) > 3 and "-" in last and companions:
         for m in re.finditer(rf"\b(?:{DATA_NAME}|{PARAGRAPH})\b", companions.lower().replace("_", "-")):
             if m.group().startswith(last) and len(m.group()) > len(last):
@@ -144,12 +144,12 @@ def counter(bits: bytes):
     return run
 
 
-def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None = None, lang: str | None = None, context: tuple[str, ...] = (), default_threshold: float = 2.5, thresholds: dict[tuple[str, str], float] | None = None, kappa: float = 1.5, end_weight: float = 0.3) -> DataFrame:
+def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None = None, lang: str | None = None, context: tuple[str, ...] = (), sources: DataFrame | None = None, default_threshold: float = 2.5, thresholds: dict[tuple[str, str], float] | None = None, kappa: float = 1.5, end_weight: float = 0.3) -> DataFrame:
     """``id``, ``field``, ``source``, ``lang``, ``log_odds`` and ``is_cut`` of every non-missing value of ``fields``.
 
     Null, empty and placeholder values give no row; a value that ends with a terminator is complete (log-odds
     null), one that ends with an ellipsis or within a name is cut. ``thresholds`` holds log-odds by (language,
-    column); values of unknown language share one entry. Texts of any length are read whole. Repeated rows count
+    column); values of unknown language share one entry. With ``sources`` (key, source) the source column holds keys. Texts of any length are read whole. Repeated rows count
     as often as they stand.
     """
     spark = df.sparkSession
@@ -163,6 +163,9 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     ).select("id", "source", "lang", "v.*")
     flat = flat.where(F.col("text").isNotNull() & ~F.lower(F.trim("text")).isin(*PLACEHOLDERS))
     held = settle(flat.mapInPandas(values, VALUES), "values")
+    named = held.drop("norm", "asks")
+    if sources is not None:
+        named = named.withColumnRenamed("source", "key").join(sources.select("key", "source"), "key", "left").drop("key")
     asks = held.where("state = 'open'").select("id", "field", F.posexplode("asks").alias("n", "ask")).where("ask <> 0")
     counts = held.select("norm").mapInPandas(counter(_bitmap(spark, asks)), "ask long, ended long, closed long, more long")
     counts = counts.groupBy("ask").agg(F.sum("ended").alias("ended"), F.sum("closed").alias("closed"), F.sum("more").alias("more"))
@@ -170,7 +173,7 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     # one end of each context is the value itself
     step = lambda p, s: (s["more"] + kappa * p) / (s["more"] + s["closed"] + end_weight * F.greatest(s["ended"] - 1, F.lit(0)) + kappa)
     going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.aggregate("seen", F.lit(0.5), step)))
-    surplus = held.groupBy("source", "field", "size").agg(F.count("*").alias("here"))
+    surplus = named.groupBy("source", "field", "size").agg(F.count("*").alias("here"))
     near = [surplus.select("source", "field", (F.col("size") + d).alias("size"), F.col("here").alias("near")) for d in (-3, -2, -1, 1, 2, 3)]
     around = near[0]
     for n in near[1:]:
@@ -178,8 +181,8 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     around = around.groupBy("source", "field", "size").agg((F.sum("near") / 6).alias("near"))
     surplus = surplus.join(around, ["source", "field", "size"], "left")
     surplus = surplus.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.log((F.col("here") + 3) / (F.coalesce("near", F.lit(0.0)) + 3)).alias("surplus"))
-    same = held["source"].eqNullSafe(F.col("s")) & (held["field"] == F.col("f")) & (held["size"] == F.col("z"))
-    scored = held.select("id", "field", "source", "lang", "state", "size").join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("size") == F.col("z"))
+    scored = named.join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
     odds = F.log(going / (1 - going)) + F.coalesce("surplus", F.lit(0.0))
     limit = F.lit(default_threshold)
     for (language, column), value in (thresholds or {}).items():
