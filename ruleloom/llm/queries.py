@@ -73,7 +73,7 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def _winners(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rules = table(spark, folder, "rules")
-    groups = near_duplicates(rules, "rule_id", "description")
+    groups = settle(near_duplicates(rules, "rule_id", "description"), "groups")
     cuts = _cuts(spark, folder).groupBy("id").pivot("field", CUT_FIELDS).agg(F.first(F.col("is_cut").cast("int")))
     cuts = cuts.select("id", *[F.col(f).alias(f"{f}_level") for f in CUT_FIELDS])
     rules = rules.select("rule_id", "extracted_at", *MERGED_FIELDS).join(cuts, F.col("rule_id") == F.col("id"), "left").drop("id")

@@ -173,11 +173,9 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     # one end of each context is the value itself
     step = lambda p, s: (s["more"] + kappa * p) / (s["more"] + s["closed"] + end_weight * F.greatest(s["ended"] - 1, F.lit(0)) + kappa)
     going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.aggregate("seen", F.lit(0.5), step)))
-    surplus = named.groupBy("source", "field", "size").agg(F.count("*").alias("here"))
-    near = [surplus.select("source", "field", (F.col("size") + d).alias("size"), F.col("here").alias("near")) for d in (-3, -2, -1, 1, 2, 3)]
-    around = near[0]
-    for n in near[1:]:
-        around = around.union(n)
+    surplus = settle(named.groupBy("source", "field", "size").agg(F.count("*").alias("here")), "sizes")
+    beside = F.explode(F.array(*[F.col("size") + d for d in (-3, -2, -1, 1, 2, 3)]))
+    around = surplus.select("source", "field", beside.alias("size"), F.col("here").alias("near"))
     around = around.groupBy("source", "field", "size").agg((F.sum("near") / 6).alias("near"))
     surplus = surplus.join(around, ["source", "field", "size"], "left")
     surplus = surplus.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.log((F.col("here") + 3) / (F.coalesce("near", F.lit(0.0)) + 3)).alias("surplus"))
