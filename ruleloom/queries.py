@@ -383,6 +383,13 @@ def c9_split_complex(spark: SparkSession, folder: str) -> DataFrame:
     return segment.split_complex(segment.merged(segment.segments(_texts(spark, folder))))
 
 
+@query("SELECT doc_id AS id, 'FULL-FILE' AS label, 1 AS start_line, len(string_split(text, chr(10)))::INT AS end_line FROM documents WHERE code_lang IS NULL AND regexp_matches(text, '\\S')")
+def c7_full_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Prose documents, whose language has no boundaries: one chunk each."""
+    d = table(spark, folder, "documents").where("code_lang is null").select(F.col("doc_id").alias("id"), F.lit("note.txt").alias("name"), "text")
+    return segment.segments(d).select("id", "label", "start_line", "end_line")
+
+
 @query("SELECT doc_id, (length(text) // 4)::INT AS tokens FROM documents")
 def c11_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated tokens of each document."""
@@ -733,7 +740,8 @@ def e4_edit_requests(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("id", "plain_text", "intent", "file", F.size("changes").alias("n_changes"))
 
 
-@query()
+@query("""SELECT chunk_id AS id, true AS success, CASE WHEN rtrim(first, chr(13)) = '' THEN source_text ELSE first || ' NOTED' || substr(source_text, length(rtrim(first, chr(13))) + 1) END AS content, '' AS error
+ FROM (SELECT chunk_id, source_text, string_split(source_text, chr(10))[1] AS first FROM chunks WHERE source_text IS NOT NULL)""")
 def e6_applied(spark: SparkSession, folder: str) -> DataFrame:
     """The requested edits applied to the chunks."""
     own = _edit_answers(spark, folder).where("content is not null")
@@ -783,6 +791,29 @@ def x_event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return streams.event_windows(e.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT chunk_id AS id, contains(source_text, label) AS exact, contains(trim(regexp_replace(source_text, '\\s+', ' ', 'g')), trim(regexp_replace(label, '\\s+', ' ', 'g'))) AS squeezed FROM chunks")
+def e5_located(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each chunk's label stands in its text, exactly or up to white space."""
+    c = table(spark, folder, "chunks")
+    return c.select(F.col("chunk_id").alias("id"), F.contains("source_text", "label").alias("exact"), F.contains(T.squeezed(F.col("source_text")), T.squeezed(F.col("label"))).alias("squeezed"))
+
+
+@query(f"""WITH {RULES_SQL} SELECT s.session_id FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM rules_named r WHERE r.session_id = s.session_id AND r.decision = 'Rejected')
+ INTERSECT SELECT session_id FROM rules_named WHERE decision = 'Accepted' EXCEPT SELECT session_id FROM rules_named WHERE decision = 'Flagged'""")
+def u3_session_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions with accepted rules and neither rejected nor flagged ones, by set operations."""
+    rules = _rules(spark, folder).select("session_id", "decision")
+    of = lambda d: rules.where(F.col("decision") == d).select("session_id")
+    clean = table(spark, folder, "sessions").select("session_id").join(of("Rejected"), "session_id", "left_anti")
+    return clean.intersect(of("Accepted")).exceptAll(of("Flagged").distinct())
+
+
+@query(f"WITH {RULES_SQL} SELECT type, confidence, count(*) AS n, grouping(type, confidence)::INT AS level FROM rules_named GROUP BY ROLLUP (type, confidence)")
+def x_rules_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules by type and confidence with subtotals."""
+    return _rules(spark, folder).rollup("type", "confidence").agg(F.count("*").alias("n"), F.grouping_id("type", "confidence").cast("int").alias("level"))
+
+
 # --- relational extensions ---------------------------------------------------------------------------------------
 
 
