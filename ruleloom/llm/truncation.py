@@ -75,7 +75,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(data: np.ndarray, order: int, sums: np.ndarray, up: np.ndarray) -> np.ndarray:
     """For each i >= order the hash of the ``order`` bytes before position i, at index i - order."""
-    h = (sums[order:] - sums[: len(sums) - order]) * up[order : len(sums)]
+    return _mix((sums[order:] - sums[: len(sums) - order]) * up[order : len(sums)], order)
+
+
+def _mix(h: np.ndarray, order: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * order)
     return h ^ (h >> np.uint64(32))
@@ -94,17 +97,21 @@ VALUES = "id long, field string, source string, lang string, norm string, state
 def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shaped values with their state and, of open ones, the hashes of their final contexts."""
     for batch in batches:
-        norms, states, asks = [], [], []
+        norms, states = [], []
         for text, companion in zip(batch["text"], batch["companion"], strict=True):
             norm, state = ending(text, companion or "")
             norms.append(norm)
             states.append(state)
-            own = None
-            if state == "open":
-                data = np.frombuffer(norm.encode(), dtype=np.uint8)
-                sums, up = _sums(data)
-                own = [int(contexts(data, n, sums, up)[-1].view(np.int64)) if n <= len(data) else 0 for n in ORDERS]
-            asks.append(own)
+        asks: list[np.ndarray | None] = [None] * len(norms)
+        still = [i for i, state in enumerate(states) if state == "open"]
+        if still:
+            texts = [norms[i].encode() for i in still]
+            sums, up = _sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
+            sizes = np.array([len(t) for t in texts])
+            ends = np.cumsum(sizes)
+            own = [np.where(n <= sizes, _mix((sums[ends] - sums[np.maximum(ends - n, 0)]) * up[ends], n).view(np.int64), 0) for n in ORDERS]
+            for i, row in zip(still, np.stack(own, axis=1), strict=True):
+                asks[i] = row
         out = batch[["id", "field", "source", "lang"]].copy()
         out["norm"], out["state"], out["size"], out["asks"] = norms, states, batch["text"].str.len(), asks
         yield out
