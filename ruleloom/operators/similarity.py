@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.functions.kernels import lcs_length
+from ruleloom.functions.kernels import PackedTexts, lcs_length
 from ruleloom.functions.text import content_words, duplicate_form, matching_form
 from ruleloom.plans.lineage import settle
 
@@ -122,6 +122,136 @@ def candidates(rules: DataFrame, entries: DataFrame, threshold: float = MATCH_FR
     return ratio_join(left.join(right, "scope"), "a", "b", threshold, bonus, as_float=True).where("similarity > 0").select("rule_id", "gt_id", "similarity")
 
 
+#: Entries packed at once; scores (4 bytes each) that a wave of rules may send to the driver; rules in a wave at most.
+PACK, WAVE_SCORES, WAVE_RULES = 2048, 8_000_000, 1_000_000
+
+
+class Packs:
+    """Entries (id, kind, form) in packs of about the same length, to be compared with one rule after the other."""
+
+    def __init__(self, entries: list[tuple[int, str, str]]) -> None:
+        self.size = len(entries)
+        order = sorted(range(len(entries)), key=lambda i: -len(entries[i][2]))
+        self.packs: list[tuple[np.ndarray, np.ndarray, PackedTexts]] = []
+        at = 0
+        while at < len(order):
+            words = -(-len(entries[order[at]][2]) // 63)
+            end = next((i for i in range(at, len(order)) if i == at + PACK or -(-len(entries[order[i]][2]) // 63) < words), len(order))
+            own = order[at:end]
+            self.packs.append((np.array(own), np.array([entries[i][1] for i in own], dtype=object), PackedTexts([entries[i][2] for i in own])))
+            at = end
+
+    def scores(self, kind: str | None, form: str, least: float | np.ndarray = 0.0, running: bool = False) -> np.ndarray:
+        """Similarity (single precision) of a rule and each entry; 0 where a pack's lengths forbid ``least`` (one, or one an entry).
+
+        The bonus is added where ``kind`` is the entry's, never for None. With ``running``, packs that can't exceed
+        the best so far are left out.
+        """
+        out = np.zeros(self.size, dtype=np.float32)
+        best = 0.0
+        for own, kinds, texts in self.packs:
+            total = texts.lengths + len(form)
+            bound = 2 * np.minimum(texts.lengths, len(form)) / np.maximum(total, 1) + (0.0 if kind is None else CATEGORY_BONUS) + 1e-6
+            floor = least[own] if isinstance(least, np.ndarray) else max(least, best if running else 0.0)
+            if not (bound >= floor).any():
+                continue
+            raw = np.float32(2) * texts.lcs(form).astype(np.float32) / np.maximum(total, 1).astype(np.float32)
+            if kind is not None:
+                raw = np.where(kinds == kind, raw + np.float32(CATEGORY_BONUS), raw)
+            out[own] = np.where(total == 0, np.float32(0), np.minimum(raw, np.float32(1)))
+            best = max(best, float(out[own].max()))
+        return out
+
+
+def _sides(rules: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, form) of rules and entries: what their similarity depends on."""
+    left = rules.select(F.col("rule_id").cast("long").alias("id"), F.lower("type").alias("kind"), matching_form(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit("")))).alias("form"))
+    return left, entries.select(F.col("gt_id").cast("long").alias("id"), F.lower(F.coalesce("category", F.lit(""))).alias("kind"), matching_form(F.coalesce("text", F.lit(""))).alias("form"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Short rows with much work each, over all cores."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def match_all(rules: DataFrame, entries: DataFrame, threshold: float = MATCH_FROM) -> DataFrame:
+    """rule_id, gt_id, similarity: every rule in order takes the most similar of all entries still free, from the threshold on.
+
+    Rules (rule_id, label, text, type), entries (gt_id, category, text); of equally similar entries the first is
+    taken, similarity 0 never. Rules are scored in waves, in parallel, against the entries free before the wave, and
+    take them in order on the driver, which holds the entries and ``WAVE_SCORES`` scores. No pair is left out: once
+    no entry is free, no later rule can match.
+    """
+    spark = rules.sparkSession
+    left, right = _sides(rules, entries)
+    left = settle(left, "rules")
+    free = sorted((r["id"], r["kind"], r["form"]) for r in right.collect())
+    least = float(np.float32(threshold))
+    found: list[tuple[int, int, float]] = []
+    rest = left
+    while free:
+        wave = max(1, min(WAVE_RULES, WAVE_SCORES // len(free)))
+        upto = rest.select("id").orderBy("id").limit(wave).agg(F.max("id")).first()[0]
+        if upto is None:
+            break
+        held = spark.sparkContext.broadcast(free)
+
+        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            packs = Packs(held.value)
+            for batch in batches:
+                rows = []
+                for i, kind, form in zip(batch["id"], batch["kind"], batch["form"], strict=True):
+                    s = packs.scores(kind, form, least)
+                    if s.max() >= least:
+                        rows.append((i, s.tobytes()))
+                yield pd.DataFrame(rows, columns=["id", "scores"])
+
+        scored = _spread(rest.where(F.col("id") <= upto)).mapInPandas(score, "id long, scores binary").toPandas().sort_values("id")
+        taken = np.zeros(len(free), dtype=bool)
+        for i, raw in zip(scored["id"], scored["scores"], strict=True):
+            s = np.where(taken, np.float32(0), np.frombuffer(raw, dtype=np.float32))
+            j = int(s.argmax())
+            if s[j] >= least and s[j] > 0:
+                taken[j] = True
+                found.append((int(i), free[j][0], float(s[j])))
+        held.destroy()
+        free = [e for e, t in zip(free, taken, strict=True) if not t]
+        rest = left.where(F.col("id") > upto)
+    return spark.createDataFrame(found, "rule_id long, gt_id long, similarity float")
+
+
+def best_of_rules(rules: DataFrame, entries: DataFrame) -> DataFrame:
+    """rule_id, best: each rule's highest similarity to any of the entries, without a threshold; no rows without entries."""
+    left, right = _sides(rules, entries)
+    held = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packs = Packs(held.value)
+        for batch in batches:
+            if packs.size:
+                yield pd.DataFrame({"rule_id": batch["id"], "best": [packs.scores(k, f, running=True).max() for k, f in zip(batch["kind"], batch["form"], strict=True)]})
+
+    return _spread(left).mapInPandas(best, "rule_id long, best float")
+
+
+def best_of_entries(rules: DataFrame, entries: DataFrame) -> DataFrame:
+    """gt_id, best: each entry's highest similarity to any of the rules, without threshold and bonus; no rows without rules."""
+    left, right = _sides(rules, entries)
+    held = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packs = Packs(held.value)
+        top, seen = np.zeros(packs.size, dtype=np.float32), False
+        for batch in batches:
+            for form in batch["form"]:
+                seen = True
+                np.maximum(top, packs.scores(None, form, top), out=top)
+        if seen and packs.size:
+            yield pd.DataFrame({"gt_id": [e[0] for e in held.value], "best": top})
+
+    return _spread(left).mapInPandas(best, "gt_id long, best float").groupBy("gt_id").agg(F.max("best").alias("best"))
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """rule_id, gt_id, similarity: rules in order each take the most similar entry that is still free.
 

@@ -605,57 +605,55 @@ def jn8_other_sessions(spark: SparkSession, folder: str) -> DataFrame:
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
-def _scope(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rules and entries of the same program: by the file of a rule, by the reference of an entry."""
-    stems = table(spark, folder, "source_files").select("file_id", F.split_part("file_name", F.lit("."), F.lit(1)).alias("scope"))
-    rules = _rules(spark, folder).join(stems, "file_id").select("rule_id", "scope", "label", F.col("description").alias("text"), "type", "confidence")
-    entries = table(spark, folder, "gt_rules").select("gt_id", F.regexp_extract(F.coalesce("source_ref", F.lit("")), r"^([A-Z0-9]+)", 1).alias("scope"), F.regexp_replace(F.coalesce("category", F.lit("")), " ", "").alias("category"), F.col("rule_text").alias("text"))
-    entries = entries.where("scope <> ''")
-    return rules.join(entries.select("scope").distinct(), "scope", "left_semi"), entries
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All rules and all ground-truth entries, also those without file or reference."""
+    rules = _rules(spark, folder).select("rule_id", "label", F.col("description").alias("text"), "type", "confidence")
+    entries = table(spark, folder, "gt_rules").select("gt_id", F.regexp_replace(F.coalesce("category", F.lit("")), " ", "").alias("category"), F.col("rule_text").alias("text"))
+    return rules, entries
 
 
-def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rules, entries = _scope(spark, folder)
-    pairs = similarity.settle(similarity.candidates(rules, entries), "candidates")
-    return similarity.settle(similarity.greedy_match(pairs), "matches"), rules, entries, pairs
+def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rules, entries = _sides(spark, folder)
+    return similarity.settle(similarity.match_all(rules, entries), "matches"), rules, entries
 
 
 @query()
 def jn5_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules matched one to one with the entries of their program."""
+    """Rules matched one to one with the entries, each rule compared with every entry still free."""
     return _matched(spark, folder)[0]
 
 
 @query()
 def g2_overall(spark: SparkSession, folder: str) -> DataFrame:
     """Precision, recall and F1 of the matching."""
-    m, rules, entries, _ = _matched(spark, folder)
+    m, rules, entries = _matched(spark, folder)
     return evaluate.overall(m, rules, entries).withColumn("band", T.f1_band(F.col("f1")))
 
 
 @query()
 def g3_by_category(spark: SparkSession, folder: str) -> DataFrame:
     """The same by category."""
-    m, rules, entries, _ = _matched(spark, folder)
+    m, rules, entries = _matched(spark, folder)
     return evaluate.by_category(m, rules, entries)
 
 
 @query()
 def g10_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
     """Why rules and entries were not matched."""
-    m, rules, entries, pairs = _matched(spark, folder)
-    best_r = pairs.groupBy("rule_id").agg(F.max("similarity").alias("best"))
-    best_g = pairs.groupBy("gt_id").agg(F.max("similarity").alias("best"))
+    m, rules, entries = _matched(spark, folder)
+    extra, missed = rules.join(m, "rule_id", "left_anti"), entries.join(m, "gt_id", "left_anti")
+    best_r = similarity.best_of_rules(extra, entries).where(F.col("best") >= similarity.MATCH_FROM)
+    best_g = similarity.best_of_entries(rules, missed).where(F.col("best") >= similarity.MATCH_FROM)
     types = [r[0] for r in rules.select(F.lower("type")).distinct().limit(100).collect()]
-    fp = rules.join(m, "rule_id", "left_anti").join(best_r, "rule_id", "left").select(F.lit("extra").alias("side"), F.col("rule_id").alias("id"), evaluate.diagnose_extra(rules, F.col("best")).alias("reason"))
-    fn = entries.join(m, "gt_id", "left_anti").join(best_g, "gt_id", "left").select(F.lit("missed").alias("side"), F.col("gt_id").alias("id"), evaluate.diagnose_missed(types, F.col("best")).alias("reason"))
+    fp = extra.join(best_r, "rule_id", "left").select(F.lit("extra").alias("side"), F.col("rule_id").alias("id"), evaluate.diagnose_extra(rules, F.col("best")).alias("reason"))
+    fn = missed.join(best_g, "gt_id", "left").select(F.lit("missed").alias("side"), F.col("gt_id").alias("id"), evaluate.diagnose_missed(types, F.col("best")).alias("reason"))
     return fp.unionByName(fn)
 
 
 @query()
 def g12_guidance(spark: SparkSession, folder: str) -> DataFrame:
     """Advice from the evaluation."""
-    m, rules, entries, _ = _matched(spark, folder)
+    m, rules, entries = _matched(spark, folder)
     reasons = g10_diagnoses(spark, folder)
     missed = reasons.where("side = 'missed'").join(entries.select(F.col("gt_id").alias("id"), "category"), "id")
     return evaluate.guidance(evaluate.overall(m, rules, entries), reasons.where("side = 'extra'"), missed, evaluate.by_category(m, rules, entries))
