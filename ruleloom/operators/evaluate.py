@@ -41,30 +41,38 @@ def by_category(matches: DataFrame, rules: DataFrame, entries: DataFrame) -> Dat
     return sums.select("category", "tp", "fp", "fn", *scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def diagnose_extra(unmatched: DataFrame, best: Column, threshold: float = MATCH_FROM) -> Column:
-    """Why a rule (confidence, text) matched nothing; ``best`` is its best similarity, null without any entry."""
+def plain_extra() -> Column:
+    """Why a rule (confidence, text) matched nothing, as far as the rule alone tells; else null."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     return (
         F.when(F.col("confidence") == "Low", "low confidence reported")
         .when(F.length(text) < 40, "very short description")
         .when(text.rlike("display|print|filler|trace|log"), "infrastructure output or padding")
-        .when(F.coalesce(best, F.lit(0.0)) < 0.15, "no similar entry")
-        .otherwise(F.format_string("best similarity %.2f, below the threshold of %.2f", best, F.lit(float(threshold))))
     )
 
 
-def diagnose_missed(types: list[str], best: Column) -> Column:
-    """Why an entry (category, text) was not found; ``types`` are the extracted rule types, folded."""
+def diagnose_extra(unmatched: DataFrame, best: Column, threshold: float = MATCH_FROM) -> Column:
+    """Why a rule (confidence, text) matched nothing; ``best`` is its best similarity to any entry, null without any."""
+    similar = F.when(F.coalesce(best, F.lit(0.0)) < 0.15, "no similar entry").otherwise(F.format_string("best similarity %.2f, below the threshold of %.2f", best, F.lit(float(threshold))))
+    return F.coalesce(plain_extra(), similar)
+
+
+def plain_missed(types: list[str]) -> Column:
+    """Why an entry (category, text) was not found, as far as the entry alone tells; else null."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     return (
         F.when(~F.coalesce(F.lower("category").isin(types), F.lit(False)), F.concat(F.lit("no extracted rule of category "), F.coalesce("category", F.lit(""))))
         .when(F.size(F.split(F.coalesce("text", F.lit("")), " ", -1)) < 8, "very short text")
         .when(text.rlike("nested|recursive|loop|iteration"), "iterative or nested logic")
-        .when(F.coalesce(best, F.lit(0.0)) < 0.10, "no overlapping rule")
-        .otherwise(F.format_string("best similarity %.2f, found in part", best))
     )
 
 
+def diagnose_missed(types: list[str], best: Column) -> Column:
+    """Why an entry (category, text) was not found; ``types`` are the extracted rule types, folded, ``best`` its best similarity to any rule."""
+    similar = F.when(F.coalesce(best, F.lit(0.0)) < 0.10, "no overlapping rule").otherwise(F.format_string("best similarity %.2f, found in part", best))
+    return F.coalesce(plain_missed(types), similar)
+
+
 def guidance(total: DataFrame, extra_reasons: DataFrame, missed: DataFrame, categories: DataFrame) -> DataFrame:
     """(no, advice) from the overall scores, the reasons and the categories.
 

@@ -637,24 +637,28 @@ def g3_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.by_category(m, rules, entries)
 
 
-@query()
-def g10_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
-    """Why rules and entries were not matched."""
-    m, rules, entries = _matched(spark, folder)
+def _diagnosed(m: DataFrame, rules: DataFrame, entries: DataFrame) -> DataFrame:
     extra, missed = rules.join(m, "rule_id", "left_anti"), entries.join(m, "gt_id", "left_anti")
-    best_r = similarity.best_of_rules(extra, entries).where(F.col("best") >= similarity.MATCH_FROM)
-    best_g = similarity.best_of_entries(rules, missed).where(F.col("best") >= similarity.MATCH_FROM)
     types = [r[0] for r in rules.select(F.lower("type")).distinct().limit(100).collect()]
+    # the best similarity, without the threshold, is looked for only where the reason depends on it
+    best_r = similarity.best_of_rules(extra.where(evaluate.plain_extra().isNull()), entries)
+    best_g = similarity.best_of_entries(rules, missed.where(evaluate.plain_missed(types).isNull()))
     fp = extra.join(best_r, "rule_id", "left").select(F.lit("extra").alias("side"), F.col("rule_id").alias("id"), evaluate.diagnose_extra(rules, F.col("best")).alias("reason"))
     fn = missed.join(best_g, "gt_id", "left").select(F.lit("missed").alias("side"), F.col("gt_id").alias("id"), evaluate.diagnose_missed(types, F.col("best")).alias("reason"))
     return fp.unionByName(fn)
 
 
+@query()
+def g10_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
+    """Why rules and entries were not matched."""
+    return _diagnosed(*_matched(spark, folder))
+
+
 @query()
 def g12_guidance(spark: SparkSession, folder: str) -> DataFrame:
     """Advice from the evaluation."""
     m, rules, entries = _matched(spark, folder)
-    reasons = g10_diagnoses(spark, folder)
+    reasons = similarity.settle(_diagnosed(m, rules, entries), "reasons")
     missed = reasons.where("side = 'missed'").join(entries.select(F.col("gt_id").alias("id"), "category"), "id")
     return evaluate.guidance(evaluate.overall(m, rules, entries), reasons.where("side = 'extra'"), missed, evaluate.by_category(m, rules, entries))
 

@@ -78,3 +78,26 @@ def test_matching_without_entries_or_rules(spark):
     entries = spark.createDataFrame([(1, "Validation", "a b")], "gt_id long, category string, text string")
     assert similarity.match_all(rules, entries.limit(0)).count() == 0 and similarity.match_all(rules.limit(0), entries).count() == 0
     assert similarity.match_all(rules, entries).count() == 1
+
+
+def test_diagnoses_tell_the_best_similarity_below_the_threshold(spark, folder):
+    at, rules, entries = folder
+    with_bonus, plain, matches = brute(rules, entries)
+    rules_df = spark.createDataFrame([(r[0], r[3], r[5], r[4]) for r in rules], "rule_id long, label string, text string, type string")
+    entries_df = spark.createDataFrame([g[:3] for g in entries], "gt_id long, category string, text string")
+    for part in (entries_df, entries_df.where("gt_id in (200, 201)")):
+        ids = [r["gt_id"] for r in part.collect()]
+        got = {r["rule_id"]: np.float32(r["best"]) for r in similarity.best_of_rules(rules_df, part).collect()}
+        assert got == {r[0]: max(with_bonus[r[0], i] for i in ids) for r in rules}
+    assert any(np.float32(0.1) < v < np.float32(0.4) for v in got.values())
+    got = {r["gt_id"]: np.float32(r["best"]) for r in similarity.best_of_entries(rules_df, entries_df).collect()}
+    assert got == {g[0]: max(plain[r[0], g[0]] for r in rules) for g in entries}
+    reasons = {(r["side"], r["id"]): r["reason"] for r in QUERIES["g10_diagnoses"](spark, at).collect()}
+    assert len(reasons) == len(rules) + len(entries) - 2 * len(matches)
+    assert 0.10 < got[200] < 0.40 and reasons["missed", 200] == f"best similarity {got[200]:.2f}, found in part"
+    for r in rules:
+        if r[0] not in matches and r[6] == "High" and len(r[5]) >= 40:
+            best = max(with_bonus[r[0], g[0]] for g in entries)
+            assert reasons["extra", r[0]] == ("no similar entry" if best < 0.15 else f"best similarity {best:.2f}, below the threshold of 0.40")
+    low = sum(s == "extra" and "low" in reason for (s, _), reason in reasons.items())
+    assert any(r["advice"].startswith(f"{low} low-confidence") for r in QUERIES["g12_guidance"](spark, at).collect())
