@@ -5,7 +5,7 @@ passages of three blocks of 13 words, one block apart, so that any run of 25 wor
 come from document frequencies over all documents. A randomised SVD of the weighted passages gives latent vectors;
 passages whose latent cosine with an item's passage is high are compared again with the whole term vectors, and
 what remains is aligned word by word: a longest common subsequence, within which a run of the item's words with
-few errors, and its telling words (numbers and codes: the answer), must be found.
+few errors must be found. How many of its telling words (numbers and codes: the answer) agree is reported only.
 
 The items are the stated query set: they are taken in blocks of bounded size, each against all documents.
 """
@@ -309,6 +309,6 @@ def aligned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, m: Leakage = Leakage()) -> DataFrame:
-    """The aligned pairs that are leaks: a long enough run in which most telling words agree."""
+    """The aligned pairs that are leaks: a long enough run within the error rate, whichever words the errors are."""
     found = aligned(docs, items, id_col, text_col, item_col, item_text, m)
-    return found.where((F.col("run") >= m.least_run) & (F.col("telling") >= 50))
+    return found.where(F.col("run") >= m.least_run)

@@ -137,6 +137,15 @@ def test_leaks(spark):
     assert leaks(df.limit(0), it, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_a_leak_whose_only_number_is_replaced(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(1000 + k))
+    items_ = [(i, " ".join("4711" if k == 15 else word(100 * i + k) for k in range(32))) for i in range(4)]
+    docs = [(50 + i, " ".join(["before", *text.replace("4711", "4712").split(), "after"])) for i, text in items_]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items_, "item_id long, text string")
+    got = {(r["item_id"], r["id"], r["errors"], r["telling"]) for r in leaks(df, it, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(i, 50 + i, 1, 0) for i in range(4)}
+
+
 def test_run_and_errors():
     item = [f"a{i}" for i in range(40)]
     assert longest_run(item, item[5:35], 8)[:2] == (30, 0)
