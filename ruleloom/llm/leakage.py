@@ -165,8 +165,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def randomised_svd(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, m: Leakage) -> np.ndarray:
     """Right singular vectors (term rows x dim) of weighted passages: all items' and a bounded sample of the corpus.
 
-    Subspace iteration: each task multiplies its passages with the current basis and back; the products, of fixed
-    size, are added up and orthogonalised.
+    Subspace iteration on the driver: the first 40 blocks of ``sample`` / 40 documents, whichever come first, and the
+    items are multiplied with the current basis and back; the products are added up and orthogonalised. Only words
+    of the items have a row in the basis.
     """
     vocabulary = np.unique(np.concatenate(items)) if items else np.zeros(0, dtype=np.int64)
     vocabulary = vocabulary[vocabulary > 0]
