@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import xxhash
 
 #: A data name: two-letter storage prefix and at least two parts, written with hyphens or underscores.
@@ -67,12 +66,31 @@ def tokens(text: str | None) -> tuple[list[str], list[str], list[str]]:
     return words, names, amounts
 
 
-def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the words. ``cache`` belongs to the caller's batch."""
-    out = set()
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh32_intdigest(w)
-        out.add(h)
-    return np.fromiter(sorted(out), dtype=np.uint32, count=len(out))
+_hashed: dict[str, tuple[tuple[int, ...], tuple[str, ...], tuple[str, ...]] | int] = {}
+
+
+def _hash_pieces(raw: str) -> tuple[tuple[int, ...], tuple[str, ...], tuple[str, ...]] | int:
+    own = pieces(raw)
+    by = lambda *kinds: tuple(v for k, v in own if k in kinds)
+    hashes = tuple(xxhash.xxh32_intdigest(w) for w in by("word", "para"))
+    return hashes[0] if len(hashes) == len(own) == 1 else (hashes, by("name"), by("num"))
+
+
+def hashed_tokens(text: str | None) -> tuple[set[int], list[str], list[str]]:
+    """As ``tokens``, the words as a set of 32-bit hashes."""
+    words: set[int] = set()
+    names: list[str] = []
+    amounts: list[str] = []
+    if len(_hashed) > REMEMBERED:
+        _hashed.clear()
+    for raw in (text or "").lower().split():
+        own = _hashed.get(raw)
+        if own is None:
+            own = _hashed[raw] = _hash_pieces(raw)
+        if own.__class__ is int:
+            words.add(own)
+        else:
+            words.update(own[0])
+            names.extend(own[1])
+            amounts.extend(own[2])
+    return words, names, amounts
