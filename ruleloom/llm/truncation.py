@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +33,36 @@ BITMAP_BITS = 24
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "nil", "-", "--", "tbd", "unknown", "?", ".")
 
 _SHAPES = re.compile(rf"(?P<name>\b{DATA_NAME}\b)|(?P<para>\b{PARAGRAPH}\b)|(?P<code>\b[a-z]\d{{2}}\b)|(?P<num>\d[\d,]*(?:\.\d+)?)")
+_NAMES = re.compile(rf"\b(?:{DATA_NAME}|{PARAGRAPH})\b")
 _STAND_FOR = {"name": "\x01", "para": "\x02", "code": "\x03", "num": "\x04"}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+class Shapes(dict):
+    """Remembers the shape of space-free strings; starts anew at half a million."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[raw] = _SHAPES.sub(lambda m: _STAND_FOR[m.lastgroup], raw)
+        return out
+
+
+_shapes = Shapes()
+
+
 def shape(text: str) -> str:
     """Lower case, with one character for each data name, paragraph, code, number and run of white space."""
-    return _SHAPES.sub(lambda m: _STAND_FOR[m.lastgroup], " ".join(text.lower().split()))
+    return " ".join(map(_shapes.__getitem__, text.lower().split()))
 
 
 def ending(text: str, companions: str) -> tuple[str, str]:
-    """The shaped text without its ellipsis, and ``done``, ``open`` or ``cut``.
+    """The shaped text without its ellipsis, and ``done``, ``open`` or ``cut``: what its end looks like.
 
     ``done`` ends with a terminator; ``cut`` ends with an ellipsis, or with the beginning of a name that the
-    companion text (the row's other fields and ``context``) has in full; of ``open`` values the model decides.
+    companion text (the row's other fields and ``context``) has in full. Both are evidence beside the model's odds.
     """
     body = text.strip()
     bare = body.rstrip("…").rstrip()
@@ -59,7 +75,7 @@ def ending(text: str, companions: str) -> tuple[str, str]:
         return norm, "done"
     last = bare[-60:].rpartition(" ")[2].strip("'\"(),;:\n\r\t").lower().replace("_", "-")
     if len(last) > 3 and "-" in last and companions:
-        for m in re.finditer(rf"\b(?:{DATA_NAME}|{PARAGRAPH})\b", companions.lower().replace("_", "-")):
+        for m in _NAMES.finditer(companions.lower().replace("_", "-")):
             if m.group().startswith(last) and len(m.group()) > len(last):
                 return norm, "cut"
     return norm, "open"
@@ -73,11 +89,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def contexts(data: np.ndarray, order: int, sums: np.ndarray, up: np.ndarray) -> np.ndarray:
-    """For each i >= order the hash of the ``order`` bytes before position i, at index i - order."""
-    return _mix((sums[order:] - sums[: len(sums) - order]) * up[order : len(sums)], order)
-
-
 def _mix(h: np.ndarray, order: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * order)
@@ -94,34 +105,31 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 VALUES = "id long, field string, source string, lang string, norm string, state string, size int, asks array<long>"
 
 
-def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shaped values with their state and, of open ones, the hashes of their final contexts."""
+def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (id, source, lang, field, text, companion) to shaped values with their state and the hashes of their
+    final contexts: those before the terminator where there is one."""
     for batch in batches:
-        norms, states = [], []
-        for text, companion in zip(batch["text"], batch["companion"], strict=True):
-            norm, state = ending(text, companion or "")
-            norms.append(norm)
-            states.append(state)
-        asks: list[np.ndarray | None] = [None] * len(norms)
-        still = [i for i, state in enumerate(states) if state == "open"]
-        if still:
-            texts = [norms[i].encode() for i in still]
-            sums, up = _sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
-            sizes = np.array([len(t) for t in texts])
-            ends = np.cumsum(sizes)
-            own = [np.where(n <= sizes, _mix((sums[ends] - sums[np.maximum(ends - n, 0)]) * up[ends], n).view(np.int64), 0) for n in ORDERS]
-            for i, row in zip(still, np.stack(own, axis=1), strict=True):
-                asks[i] = row
-        out = batch[["id", "field", "source", "lang"]].copy()
-        out["norm"], out["state"], out["size"], out["asks"] = norms, states, batch["text"].str.len(), asks
-        yield out
+        ends = [ending(t, c or "") for t, c in zip(batch["text"].to_pylist(), batch["companion"].to_pylist(), strict=True)]
+        norms, states = [e[0] for e in ends], [e[1] for e in ends]
+        texts = [(n.rstrip(".!? ") if s == "done" else n).encode() for n, s in ends]
+        sums, up = _sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        at = np.cumsum(sizes)
+        own = [np.where(n <= sizes, _mix((sums[at] - sums[np.maximum(at - n, 0)]) * up[at], n).view(np.int64), 0) for n in ORDERS]
+        asks = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * len(ORDERS)), pa.array(np.stack(own, axis=1).ravel()))
+        columns = [batch["id"], batch["field"], batch["source"], batch["lang"], pa.array(norms, pa.string()), pa.array(states, pa.string()), pc.utf8_length(batch["text"]).cast(pa.int32()), asks]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in VALUES.split(", ")])
 
 
 def counter(bits: bytes):
-    """A mapInPandas function: counts of ended, closed and continued contexts that the bitmap asks for."""
+    """A mapInPandas function: counts of ended, closed and continued contexts that the bitmap asks for.
+
+    A context is asked for together with its shorter ones, so only positions found at one length are looked at
+    for the next.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
+        wanted = np.frombuffer(bits, dtype=np.uint8)
         mask = np.uint64((1 << BITMAP_BITS) - 1)
         for batch in batches:
             texts = [t.encode() for t in batch["norm"] if t]
@@ -138,26 +146,33 @@ def counter(bits: bytes):
             kind = np.where(after == 10, 0, np.where(closed, 1, 2)).astype(np.int64)
             place = np.arange(len(begin))
             for n in ORDERS:
-                if len(begin) <= n:
-                    continue
-                h = contexts(data, n, sums, up)[: len(begin) - n]
-                ok = wanted[h & mask] & (place[n:] - begin[n:] >= n)
-                if not ok.any():
-                    continue
-                keys, inverse = np.unique(h[ok], return_inverse=True)
-                n_of = np.bincount(inverse * 3 + kind[n:][ok], minlength=3 * len(keys)).reshape(-1, 3)
+                place = place[place - begin[place] >= n]
+                h = _mix((sums[place] - sums[place - n]) * up[place], n)
+                slot = h & mask
+                ok = (wanted[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                place, h = place[ok], h[ok]
+                if not len(place):
+                    break
+                keys, inverse = np.unique(h, return_inverse=True)
+                n_of = np.bincount(inverse * 3 + kind[place], minlength=3 * len(keys)).reshape(-1, 3)
                 yield pd.DataFrame({"ask": keys.view(np.int64), "ended": n_of[:, 0], "closed": n_of[:, 1], "more": n_of[:, 2]})
 
     return run
 
 
-def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None = None, lang: str | None = None, context: tuple[str, ...] = (), sources: DataFrame | None = None, default_threshold: float = 2.5, thresholds: dict[tuple[str, str], float] | None = None, kappa: float = 1.5, end_weight: float = 0.3) -> DataFrame:
+#: Evidence of an end beside the model's odds of going on: a terminator stands at nearly every end and at one position
+#: in some fifty within a text; an ellipsis or half a name says the opposite with hardly an exception.
+EVIDENCE = {"done": -4.0, "open": 0.0, "cut": 40.0}
+
+
+def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None = None, lang: str | None = None, context: tuple[str, ...] = (), sources: DataFrame | None = None, wanted: DataFrame | None = None, default_threshold: float = 2.5, thresholds: dict[tuple[str, str], float] | None = None, kappa: float = 1.5, end_weight: float = 0.3) -> DataFrame:
     """``id``, ``field``, ``source``, ``lang``, ``log_odds`` and ``is_cut`` of every non-missing value of ``fields``.
 
-    Null, empty and placeholder values give no row; a value that ends with a terminator is complete (log-odds
-    null), one that ends with an ellipsis or within a name is cut. ``thresholds`` holds log-odds by (language,
-    column); values of unknown language share one entry. With ``sources`` (key, source) the source column holds keys. Texts of any length are read whole. Repeated rows count
-    as often as they stand.
+    Null, empty and placeholder values give no row. Every value is scored by the model; a terminator, an ellipsis
+    and an end within a name count as evidence. ``thresholds`` holds log-odds by (language, column); values of
+    unknown language share one entry. With ``sources`` (key, source) the source column holds keys. With ``wanted``
+    (id) only those rows are scored, while the model counts all. Texts of any length are read whole. Repeated rows
+    count as often as they stand.
     """
     spark = df.sparkSession
     other = {f: [g for g in fields if g != f] for f in fields}
@@ -169,16 +184,20 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
         F.explode(parts).alias("v"),
     ).select("id", "source", "lang", "v.*")
     flat = flat.where(F.col("text").isNotNull() & ~F.lower(F.trim("text")).isin(*PLACEHOLDERS))
-    held = settle(flat.mapInPandas(values, VALUES), "values")
+    held = settle(flat.mapInArrow(values, VALUES), "values")
     named = held.drop("norm", "asks")
     if sources is not None:
         named = named.withColumnRenamed("source", "key").join(sources.select("key", "source"), "key", "left").drop("key")
-    asks = held.where("state = 'open'").select("id", "field", F.posexplode("asks").alias("n", "ask")).where("ask <> 0")
+    asking = held.select("id", "field", "asks")
+    if wanted is not None:
+        asking = settle(asking.join(wanted.select("id"), "id", "left_semi"), "asking")
+    asks = asking.select("id", "field", F.posexplode("asks").alias("n", "ask")).where("ask <> 0")
     counts = held.select("norm").mapInPandas(counter(_bitmap(spark, asks)), "ask long, ended long, closed long, more long")
     counts = counts.groupBy("ask").agg(F.sum("ended").alias("ended"), F.sum("closed").alias("closed"), F.sum("more").alias("more"))
     seen = asks.join(counts, "ask").groupBy("id", "field").agg(F.sort_array(F.collect_list(F.struct("n", "ended", "closed", "more"))).alias("seen"))
-    # one end of each context is the value itself
-    step = lambda p, s: (s["more"] + kappa * p) / (s["more"] + s["closed"] + end_weight * F.greatest(s["ended"] - 1, F.lit(0)) + kappa)
+    # one end of each context is the value itself, one terminator that of the value itself
+    self = F.when(F.col("state") == "done", 0).otherwise(1)
+    step = lambda p, s: (s["more"] + kappa * p) / (s["more"] + F.greatest(s["closed"] - (1 - self), F.lit(0)) + end_weight * F.greatest(s["ended"] - self, F.lit(0)) + kappa)
     going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.aggregate("seen", F.lit(0.5), step)))
     surplus = settle(named.groupBy("source", "field", "size").agg(F.count("*").alias("here")), "sizes")
     beside = F.explode(F.array(*[F.col("size") + d for d in (-3, -2, -1, 1, 2, 3)]))
@@ -188,12 +207,15 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     surplus = surplus.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.log((F.col("here") + 3) / (F.coalesce("near", F.lit(0.0)) + 3)).alias("surplus"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("size") == F.col("z"))
     scored = named.join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
+    if wanted is not None:
+        scored = scored.join(wanted.select("id"), "id", "left_semi")
     odds = F.log(going / (1 - going)) + F.coalesce("surplus", F.lit(0.0))
     limit = F.lit(default_threshold)
     for (language, column), value in (thresholds or {}).items():
         limit = F.when((F.col("lang") == language) & (F.col("field") == column), F.lit(value)).otherwise(limit)
-    odds = F.when(F.col("state") == "open", F.when(F.col("seen").isNotNull(), odds).otherwise(F.coalesce("surplus", F.lit(0.0))))
-    cut = (F.col("state") == "cut") | ((F.col("state") == "open") & (odds > limit))
+    evidence = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[F.col("state")]
+    odds = F.when(F.col("seen").isNotNull(), odds).otherwise(F.coalesce("surplus", F.lit(0.0))) + evidence
+    cut = odds > limit
     return scored.select("id", "field", "source", "lang", odds.alias("log_odds"), cut.alias("is_cut"))
 
 
