@@ -51,3 +51,22 @@ def applied(df: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "success", "content", "error"])
 
     return df.select("id", "content", F.col("changes").cast(CHANGE).alias("changes")).mapInPandas(run, "id long, success boolean, content string, error string")
+
+
+def applied_to_files(requests: DataFrame, files: DataFrame, at: str) -> DataFrame:
+    """id, success, error, path, content, backup_path, backup of requests (id, scope, file, changes) on files (scope, file_name, path, content).
+
+    A request names a file of its scope, without case; of several the first path is taken. Nothing is written and no
+    backup made unless all changes can be located; then ``content`` is the new text of ``path`` and ``backup`` the
+    old one, kept at ``backup_path`` (the path, ``.bak_`` and the time ``at``). A request without changes succeeds.
+    """
+    own = files.select("scope", F.lower("file_name").alias("name"), "path", "content").groupBy("scope", "name").agg(F.min_by(F.struct("path", "content"), "path").alias("f"))
+    found = requests.withColumn("name", F.lower("file")).join(own, ["scope", "name"], "left")
+    done = applied(found.select("id", F.col("f.content").alias("content"), "changes"))
+    out = found.select("id", "file", "f").join(done, "id")
+    missing = F.when(F.col("f").isNull(), F.concat(F.lit("file not in session: "), F.coalesce("file", F.lit("")))).when(F.col("f.content").isNull(), F.concat(F.lit("file has no text: "), "f.path"))
+    ok = missing.isNull() & F.col("success")
+    return out.select(
+        "id", ok.alias("success"), F.coalesce(missing, "error").alias("error"), F.col("f.path").alias("path"), F.when(ok, F.col("content")).otherwise(F.col("f.content")).alias("content"),
+        F.when(ok, F.concat("f.path", F.lit(".bak_" + at))).alias("backup_path"), F.when(ok, F.col("f.content")).alias("backup"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.functions.kernels import brackets_match
 from ruleloom.functions.text import display_type, pascal_case, shortened, xml_escape
 
 
@@ -52,9 +53,14 @@ def scaffold_map(rules: DataFrame) -> DataFrame:
 
 
 def balanced(source: Column) -> Column:
-    """True if braces, brackets and parentheses occur as often open as closed."""
-    count = lambda ch: F.length(source) - F.length(F.replace(source, F.lit(ch)))
-    return (count("{") == count("}")) & (count("(") == count(")")) & (count("[") == count("]"))
+    """True if the brackets of a source close in the order they open, strings and comments apart; null counts as empty."""
+    return F.pandas_udf(lambda s: s.map(brackets_match), "boolean")(source)
+
+
+def source_text(files: DataFrame) -> DataFrame:
+    """scope and the whole texts of its files (scope, file_id, file_name, text), each under its name, in order; files without text are left out."""
+    part = F.concat(F.lit("=== "), "file_name", F.lit(" ===\n"), "text", F.lit("\n\n"))
+    return files.where("text is not null").groupBy("scope").agg(in_order(["file_id"], part, "").alias("source"))
 
 
 def context_blocks(files: DataFrame, most: int = 8000) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions.kernels import repair_json
 from ruleloom.functions.text import rule_type, reported_confidence
+from ruleloom.operators.review import cached
 
 #: A function from a prompt to an answer; a table of answers or a service.
 Extractor = Callable[[str], str]
@@ -32,6 +33,19 @@ def run_extractor(chunks: DataFrame, extractor: Extractor) -> DataFrame:
     return chunks.select("id", "prompt").mapInPandas(run, "id long, answer string, error string")
 
 
+def answered(requests: DataFrame, cache: DataFrame, extractor: Extractor) -> DataFrame:
+    """id, chunk_label, key, answer, error, cached of requests (id, chunk_label, key, prompt).
+
+    What the cache (key, response, stored_at) holds is taken from it; only the rest is asked for, once for each key.
+    """
+    known = cached(requests, cache)
+    asked = known.where("response is null")
+    once = asked.groupBy("key").agg(F.min_by(F.struct("id", "prompt"), "id").alias("r")).select("key", "r.*")
+    new = run_extractor(once, extractor).join(once.select("id", "key"), "id").select("key", F.col("answer").alias("new"), "error")
+    out = known.join(new, "key", "left")
+    return out.select("id", "chunk_label", "key", F.coalesce("response", "new").alias("answer"), "error", F.col("response").isNotNull().alias("cached"))
+
+
 def repaired(df: DataFrame) -> DataFrame:
     """id and json: the answers (id, answer) repaired; null where no repair parses."""
 

@@ -108,3 +108,9 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with their stored response; null where there is none."""
     return requests.join(cache.groupBy("key").agg(F.max_by("response", "stored_at").alias("response")), "key", "left")
+
+
+def counters(calls: DataFrame, host: str, port: int) -> DataFrame:
+    """connections and violations of calls (host, port): those to another host (without case) or port than the allowed one."""
+    allowed = F.coalesce((F.lower("host") == host.lower()) & (F.col("port") == port), F.lit(False))
+    return calls.agg(F.count("*").alias("connections"), F.count_if(~allowed).alias("violations"))

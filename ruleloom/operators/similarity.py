@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions.kernels import PackedTexts, lcs_length
 from ruleloom.functions.text import content_words, duplicate_form, matching_form
-from ruleloom.plans.lineage import settle
+from ruleloom.plans.lineage import release, settle
 
 
 def _pandas_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -24,6 +23,18 @@ def lcs(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pandas_lcs, "int")(a, b)
 
 
+#: Columns of the counts of characters; characters that share a column can only raise a bound.
+CHARACTER_COLUMNS = 64
+
+
+def character_bags(texts: list[str]) -> np.ndarray:
+    """How often characters occur in each text, by code point modulo ``CHARACTER_COLUMNS``."""
+    out = np.zeros((len(texts), CHARACTER_COLUMNS), dtype=np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % CHARACTER_COLUMNS, minlength=CHARACTER_COLUMNS)
+    return out
+
+
 def ratio_join(rows: DataFrame, left: str, right: str, threshold: float, bonus: Column | None = None, as_float: bool = False) -> DataFrame:
     """``rows`` with ``similarity`` = 2 LCS / (both lengths) of two columns, where it reaches the threshold.
 
@@ -37,14 +48,16 @@ def ratio_join(rows: DataFrame, left: str, right: str, threshold: float, bonus:
     near = rows.where((2 * F.least(F.length(a), F.length(b)) + extra * total >= F.lit(threshold) * total - F.lit(1e-6) * total))
 
     def score(x: pd.Series, y: pd.Series, slack: pd.Series) -> pd.Series:
-        bags: dict[str, Counter] = {}
         out = np.full(len(x), -1, dtype=np.int32)
-        for i, (p, q, s) in enumerate(zip(x, y, slack, strict=True)):
-            n = len(p) + len(q)
-            u = bags.get(p) or bags.setdefault(p, Counter(p))
-            v = bags.get(q) or bags.setdefault(q, Counter(q))
-            if 2 * sum(min(c, v[k]) for k, c in u.items() if k in v) >= (threshold - s - 1e-6) * n:
-                out[i] = lcs_length(p, q)
+        p, forms_x = pd.factorize(x)
+        q, forms_y = pd.factorize(y)
+        bag_x, bag_y = character_bags(forms_x), character_bags(forms_y)
+        need = (threshold - slack.to_numpy() - 1e-6) * (x.str.len() + y.str.len()).to_numpy() / 2
+        for at in range(0, len(x), 2000):
+            some = np.arange(at, min(at + 2000, len(x)))
+            shared = np.minimum(bag_x[p[some]], bag_y[q[some]]).sum(axis=1)
+            for i in some[shared >= need[some]]:
+                out[i] = lcs_length(forms_x[p[i]], forms_y[q[i]])
         return pd.Series(out)
 
     common = F.pandas_udf(score, "int")(a, b, extra.cast("double"))
@@ -73,7 +86,8 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # a kept neighbour before every undecided one drops the row for good; without undecided ones it is decided
         drop = F.col("by").isNotNull() & (F.col("open").isNull() | (F.col("by") < F.col("open")))
         keep = F.col("by").isNull() & F.col("open").isNull()
-        state = settle(step.select("id", F.when(~F.col("decided") & drop, F.col("by")).otherwise(F.col("keeper")).alias("keeper"), (F.col("decided") | drop | keep).alias("decided")), "mis")
+        before, state = state, settle(step.select("id", F.when(~F.col("decided") & drop, F.col("by")).otherwise(F.col("keeper")).alias("keeper"), (F.col("decided") | drop | keep).alias("decided")), "mis")
+        release(before)
         if state.where("not decided").isEmpty():
             return state.select("id", "keeper")
 
@@ -82,6 +96,28 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 ANY_TYPE, SAME_TYPE = 0.80, 0.72
 
 
+#: Up to so many texts of a few hundred characters are broadcast to be compared; beyond that hot scopes are salted.
+BROADCAST_TEXTS, SALTS = 100_000, 16
+
+
+def scope_pairs(lead: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(id, form, earlier, other) of the texts (lead, form) of each scope whose lengths allow the threshold.
+
+    The length bound is part of the join: texts stand in bands of which one may reach the next but one only at a
+    ratio of lengths that the threshold forbids, so each meets its own band and the two beside it. A scope
+    however large is spread over all tasks.
+    """
+    step = float(np.log((2 - threshold) / threshold))
+    band = F.floor(F.log(F.greatest(F.length("form"), F.lit(1)).cast("double")) / step)
+    left = lead.select(*keys, F.col("lead").alias("id"), "form", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    right = lead.select(*keys, F.col("lead").alias("earlier"), F.col("form").alias("other"), band.alias("band"))
+    if lead.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        return _spread(left).join(F.broadcast(right), [*keys, "band"]).where("id > earlier").drop("band")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*keys, "band", "salt"]).where("id > earlier").drop("band", "salt")
+
+
 def deduplicate(rules: DataFrame) -> DataFrame:
     """id, scope, keeper, occurrences and is_cross_cutting of rules (id, scope, type, text), ids in order.
 
@@ -94,8 +130,7 @@ def deduplicate(rules: DataFrame) -> DataFrame:
     def one_pass(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
         # equal texts behave alike: the first stands for all
         lead = rows.groupBy(*keys, "form").agg(F.min("id").alias("lead"))
-        right = lead.select(*keys, F.col("lead").alias("earlier"), F.col("form").alias("other"))
-        pairs = lead.withColumnRenamed("lead", "id").join(right, keys).where("id > earlier")
+        pairs = scope_pairs(settle(lead, "lead"), keys, threshold)
         close = settle(ratio_join(pairs, "form", "other", threshold).select("id", "earlier"), "close")
         kept = first_independent(lead.select(F.col("lead").alias("id")), close)
         own = rows.join(lead, [*keys, "form"]).join(kept.select(F.col("id").alias("lead"), "keeper"), "lead")
@@ -266,22 +301,58 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         refused = settle(best.join(holds, "gt_id").where("rule_id <> holder").select("rule_id", "gt_id"), "refused")
         if refused.isEmpty():
             return open_pairs.join(best, ["rule_id", "gt_id"])
-        open_pairs = settle(open_pairs.join(refused, ["rule_id", "gt_id"], "left_anti"), "pairs")
+        before, open_pairs = open_pairs, settle(open_pairs.join(refused, ["rule_id", "gt_id"], "left_anti"), "pairs")
+        release(before, refused)
+
+
+#: Up to so many words of entries (12 bytes each) are shipped to the tasks as an index; more are joined.
+MOST_POSTINGS = 4_000_000
 
 
-def top_entries(queries: DataFrame, entries: DataFrame, k: int = 3) -> DataFrame:
+def top_entries(queries: DataFrame, entries: DataFrame, k: int = 3, most: int = MOST_POSTINGS) -> DataFrame:
     """query_id, entry_id, score, rank: the k entries (entry_id, text) that share most content words with a query (query_id, text).
 
-    Entries that share none are left out; of equal ones the earlier id comes first. The join is on words; the scores
-    are added up before the ranking, and ranking keeps k rows a query.
+    Entries that share none are left out; of equal ones the earlier id comes first. An index of the entries' words
+    whose size was counted goes to the queries, which are then never shuffled and of which each is scored by itself;
+    beyond ``most`` words both sides are joined on words, salted, and the scores added up before the ranking.
     """
-    q = queries.select("query_id", F.explode(content_words(F.col("text"))).alias("word"))
-    e = entries.select("entry_id", F.explode(content_words(F.col("text"))).alias("word"))
-    scored = q.join(e, "word").groupBy("query_id", "entry_id").agg(F.count("*").alias("score"))
+    e = settle(entries.select("entry_id", F.explode(content_words(F.col("text"))).alias("word")), "words")
+    if e.limit(most + 1).count() <= most:
+        return _top_by_index(queries, e, k)
+    q = queries.select("query_id", F.explode(content_words(F.col("text"))).alias("word")).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+    salted = e.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    scored = q.join(salted, ["word", "salt"]).groupBy("query_id", "entry_id").agg(F.count("*").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _top_by_index(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    held = words.toPandas().sort_values(["word", "entry_id"], kind="stable")
+    ids = np.unique(held["entry_id"].to_numpy(dtype=np.int64))
+    posted = np.searchsorted(ids, held["entry_id"].to_numpy(dtype=np.int64)).astype(np.int32)
+    names, starts = np.unique(held["word"].to_numpy(dtype=object).astype(str), return_index=True)
+    ends = [*starts[1:].tolist(), len(posted)][: len(names)]
+    index = queries.sparkSession.sparkContext.broadcast((ids, posted, dict(zip(names.tolist(), zip(starts.tolist(), ends, strict=True), strict=True))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, posted, where = index.value
+        for batch in batches:
+            rows = []
+            for i, words in zip(batch["query_id"], batch["words"], strict=True):
+                lists = [posted[slice(*where[w])] for w in ([] if words is None else words) if w in where]
+                if not lists:
+                    continue
+                score = np.bincount(np.concatenate(lists), minlength=len(ids))
+                least = np.partition(score, -k)[-k] if len(score) > k else 0
+                best = np.flatnonzero(score >= max(1, least))
+                best = best[np.lexsort((best, -score[best]))][:k]
+                rows.extend((i, ids[b], score[b], r) for r, b in enumerate(best, 1))
+            yield pd.DataFrame(rows, columns=["query_id", "entry_id", "score", "rank"])
+
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), content_words(F.col("text")).alias("words"))
+    return asked.mapInPandas(run, "query_id long, entry_id long, score long, rank int")
+
+
 def lcs_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """mapInPandas form of ``lcs`` for rows (id, a, b)."""
     for batch in batches:

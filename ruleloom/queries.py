@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ruleloom.functions import kernels
 from ruleloom.functions import text as T
 from ruleloom.operators import edit, evaluate, export, extract, profile, review, segment, similarity
 from ruleloom.sources import ground_truth, stores
@@ -15,11 +16,11 @@ from ruleloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; SQL that needs what is defined further down is a function."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -318,9 +319,15 @@ def k11_scaffold(spark: SparkSession, folder: str) -> DataFrame:
     return _scaffold(spark, folder)
 
 
-@query(f"{SCAFFOLD_SQL}, n AS (SELECT *, length(source) - length(replace(source, '{{', '')) AS a, length(source) - length(replace(source, '}}', '')) AS b, length(source) - length(replace(source, '(', '')) AS c, length(source) - length(replace(source, ')', '')) AS d, length(source) - length(replace(source, '[', '')) AS e, length(source) - length(replace(source, ']', '')) AS f FROM sources) SELECT scope, type, a = b AND c = d AND e = f AS balanced FROM n")
+_BARE = "regexp_replace(regexp_replace(source, '/\\*.*?\\*/|//[^\\n]*', ' ', 'g'), '[^()\\[\\]{}]', '', 'g')"
+PAIRS = "regexp_replace({0}, '\\(\\)|\\[\\]|\\{{\\}}', '', 'g')"
+
+
+@query(f"""{SCAFFOLD_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, shrink AS (SELECT scope, type, {_BARE} AS s, 0 AS n FROM sources
+ UNION ALL SELECT scope, type, {PAIRS.format('s')}, n + 1 FROM shrink WHERE {PAIRS.format('s')} <> s)
+ SELECT scope, type, arg_max(s, n) = '' AS balanced FROM shrink GROUP BY ALL""")
 def k12_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each generated class has balanced brackets."""
+    """Whether the brackets of each generated class close in the order they open."""
     return _scaffold(spark, folder).select("scope", "type", export.balanced(F.col("source")).alias("balanced"))
 
 
@@ -377,7 +384,8 @@ def c8_merged(spark: SparkSession, folder: str) -> DataFrame:
     return segment.merged(segment.segments(_texts(spark, folder))).select("id", "chunk_seq", "label", "start_line", "end_line", "text", "tokens")
 
 
-@query()
+@query(lambda: f"""{MERGED_SQL}, units AS (SELECT row_number() OVER (ORDER BY id, chunk_seq) AS uid, * FROM merged), {BLOCKS_SQL.replace('chunk_id', 'uid').replace('source_text', 'text').replace('FROM chunks', 'FROM units')}
+ SELECT u.id, chunk_seq, 0 AS part, label, start_line, end_line, tier, text FROM units u JOIN profiled p ON p.id = u.uid""")
 def c9_split_complex(spark: SparkSession, folder: str) -> DataFrame:
     """Deep, large chunks split by top-level branch."""
     return segment.split_complex(segment.merged(segment.segments(_texts(spark, folder))))
@@ -406,10 +414,55 @@ def profile_p1_tier(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").select("chunk_id", F.regexp_count(t, F.lit(profile.OPENERS)).alias("depth"), F.regexp_count(t, F.lit(profile.BRANCHES)).alias("branches"), profile.simple_tier(t).alias("tier"))
 
 
-@query()
+#: SQL of the block profile: logical lines, what each does to the stack of blocks, the stack and the branch path after
+#: every line, and the variables assigned and read on each path.
+CLOSERS = "(?i)^(?:" + "|".join(c for _, _, c in kernels.BLOCKS) + ")"
+STATEMENTS_SQL = """list_filter(list_transform(regexp_extract_all({0}, '(?:[^":]|"[^"]*(?:"|$))+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
+LOGICAL_SQL = """lined AS (SELECT chunk_id AS id, unnest(string_split(source_text, chr(10))) AS line, generate_subscripts(string_split(source_text, chr(10)), 1) AS no FROM chunks WHERE regexp_matches(source_text, '\\S')),
+ bare AS (SELECT id, no, regexp_replace(regexp_replace(line, '^((?:[^"'']|"[^"]*(?:"|$))*)''.*$', '\\1'), '\\s+$', '') AS t FROM lined),
+ parted AS (SELECT *, coalesce(sum((right(t, 2) <> ' _')::INT) OVER (PARTITION BY id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS g FROM bare),
+ logical AS (SELECT id, g + 1 AS g, string_agg(CASE WHEN right(t, 2) = ' _' THEN left(t, length(t) - 2) || ' ' ELSE t END, '' ORDER BY no) AS line FROM parted GROUP BY ALL)"""
+OPEN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(l, {_q('(?i)^' + o)}) THEN {_q(k)}" for k, o, _ in kernels.BLOCKS) + " END"
+BLOCKS_SQL = f"""{LOGICAL_SQL},
+ bared AS (SELECT id, g, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS l FROM logical WHERE g <= 5000),
+ typed_lines AS (SELECT id, g, l, CASE WHEN regexp_matches(l, {_q(CLOSERS)}) THEN 'close' WHEN regexp_matches(l, '(?i)^ElseIf\\b.*?\\bThen(?:\\s+\\S.*)?\\s*$') THEN 'elseif' WHEN regexp_matches(l, '(?i)^Else(?:\\s+\\S.*)?\\s*$') THEN 'else' WHEN regexp_matches(l, '(?i)^Case\\b') THEN 'case' ELSE coalesce({OPEN_SQL}, 'plain') END AS k
+  FROM bared WHERE l <> '' AND NOT regexp_matches(l, '^[A-Za-z_]\\w*\\s*:\\s*$')),
+ steps AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY g) AS r FROM typed_lines),
+ fold_blocks AS (SELECT DISTINCT id, 0::BIGINT AS r, ''::VARCHAR AS k, ''::VARCHAR AS l, ''::VARCHAR AS before, ''::VARCHAR AS stack, ''::VARCHAR AS path FROM steps
+  UNION ALL SELECT s.id, s.r, s.k, s.l, f.stack,
+   CASE WHEN s.k = 'close' THEN left(f.stack, greatest(length(f.stack) - 1, 0)) WHEN s.k IN ('elseif', 'else', 'case', 'plain') THEN f.stack ELSE f.stack || CASE s.k WHEN 'while' THEN 'h' ELSE left(s.k, 1) END END,
+   CASE WHEN s.k = 'close' THEN regexp_replace(f.path, ',?[^,]+$', '') WHEN s.k IN ('elseif', 'else', 'case') AND f.stack <> '' THEN regexp_replace(f.path, '[^,]+$', '') || (regexp_extract(f.path, '[^,]+$')::INT + 1)
+    WHEN s.k IN ('close', 'elseif', 'else', 'case', 'plain') THEN f.path ELSE f.path || CASE WHEN f.path = '' THEN '' ELSE ',' END || CASE s.k WHEN 'select' THEN '0' ELSE '1' END END
+   FROM fold_blocks f JOIN steps s ON s.id = f.id AND s.r = f.r + 1),
+ told AS (SELECT id, path, l AS t, false AS runs FROM fold_blocks WHERE k IN ('elseif', 'case', 'if', 'select') OR (k = 'plain' AND regexp_matches(l, '(?i)^If\\b.*?\\bThen\\s+(\\S.*)$'))
+  UNION ALL SELECT id, path, unnest({STATEMENTS_SQL.format("CASE k WHEN 'elseif' THEN regexp_extract(l, '(?i)^ElseIf\\b.*?\\bThen(?:\\s+(\\S.*))?\\s*$', 1) WHEN 'else' THEN regexp_extract(l, '(?i)^Else(?:\\s+(\\S.*))?\\s*$', 1) ELSE CASE WHEN regexp_matches(l, '(?i)^If\\b.*?\\bThen\\s+(\\S.*)$') THEN regexp_extract(l, '(?i)^If\\b.*?\\bThen\\s+(\\S.*)$', 1) ELSE l END END")}), true FROM fold_blocks WHERE k IN ('elseif', 'else', 'plain')),
+ aimed AS (SELECT *, CASE WHEN runs THEN lower(regexp_extract(t, '(?i)^(?:Set\\s+)?([A-Za-z_]\\w*)(?:\\s*\\([^)]*\\))?(?:\\.[A-Za-z_]\\w*)*\\s*=(?:[^=]|$)', 1)) ELSE '' END AS target, regexp_extract_all(lower(t), '\\b[a-z_]\\w*\\b') AS names FROM told),
+ aims AS (SELECT id, path, names, CASE WHEN list_contains({_list(tuple(sorted(kernels.NO_VARIABLES)))}, target) THEN '' ELSE target END AS target FROM aimed),
+ assigns AS (SELECT DISTINCT id, target AS v, path FROM aims WHERE target <> ''),
+ reads AS (SELECT DISTINCT id, v, path FROM (SELECT id, path, unnest(CASE WHEN target = '' THEN names ELSE list_concat(names[1:list_position(names, target) - 1], names[list_position(names, target) + 1:len(names)]) END) AS v FROM aims) WHERE NOT list_contains({_list(tuple(sorted(kernels.NO_VARIABLES)))}, v)),
+ crossing AS (SELECT DISTINCT a.id, a.v FROM assigns a JOIN reads u ON u.id = a.id AND u.v = a.v WHERE NOT starts_with(u.path, a.path) AND NOT starts_with(a.path, u.path) AND NOT EXISTS (SELECT 1 FROM assigns o WHERE o.id = a.id AND o.v = a.v AND o.path = '')),
+ crossed AS (SELECT id, list(v ORDER BY v) AS vars FROM crossing GROUP BY 1),
+ counted AS (SELECT id, max(length(stack))::INT AS depth, count(*) FILTER (k IN ('elseif', 'else', 'case') AND before <> '')::INT AS branches, count(*) FILTER (k IN ('if', 'select') AND regexp_matches(before, '[fdh]'))::INT AS in_loops FROM fold_blocks GROUP BY 1),
+ kinds AS (SELECT id, string_agg(k || '=' || n, ', ' ORDER BY k) AS kinds FROM (SELECT id, k, count(*) AS n FROM fold_blocks WHERE k IN ('if', 'for', 'do', 'select', 'with', 'while') GROUP BY ALL) GROUP BY 1),
+ sizes AS (SELECT id, max(g) > 5000 AS truncated FROM logical GROUP BY 1),
+ profiled AS (SELECT c.chunk_id AS id, coalesce(depth, 0) AS depth, CASE WHEN coalesce(depth, 0) <= 2 THEN 'LOW' WHEN depth <= 4 THEN 'MEDIUM' WHEN depth <= 8 THEN 'HIGH' ELSE 'CRITICAL' END AS tier, coalesce(branches, 0) AS branches, coalesce(in_loops, 0) AS in_loops, coalesce(kinds, '') AS kinds, coalesce(vars, []) AS vars, coalesce(truncated, false) AS truncated
+  FROM chunks c LEFT JOIN counted n ON n.id = c.chunk_id LEFT JOIN kinds k ON k.id = c.chunk_id LEFT JOIN crossed x ON x.id = c.chunk_id LEFT JOIN sizes z ON z.id = c.chunk_id),
+ summed AS (SELECT *, 'Nesting: ' || tier || ' (depth ' || depth || ')' || chr(10) || 'Branches: ' || branches || CASE WHEN kinds <> '' THEN chr(10) || 'Blocks: ' || kinds ELSE '' END || CASE WHEN in_loops > 0 THEN chr(10) || 'Conditions within loops: ' || in_loops ELSE '' END
+  || CASE WHEN len(vars) > 0 THEN chr(10) || 'Interdependent variables: ' || array_to_string(vars[1:{profile.MOST_SHOWN}], ', ') || CASE WHEN len(vars) > {profile.MOST_SHOWN} THEN ' (+' || (len(vars) - {profile.MOST_SHOWN}) || ' more)' ELSE '' END ELSE '' END || chr(10) || 'Extract ' || {_case('tier', profile.TIER_HINTS, 'NULL')} AS summary FROM profiled)"""
+
+
+@query("WITH " + LOGICAL_SQL + ", n AS (SELECT id, count(*)::INT AS n_lines, sha256(string_agg(line, chr(10) ORDER BY g)) AS logical FROM logical GROUP BY 1), s AS (SELECT id, sha256(string_agg(t, chr(10) ORDER BY no)) AS stripped FROM bare GROUP BY 1), st AS (SELECT id, g, unnest(" + STATEMENTS_SQL.format("line") + ") AS t FROM logical) SELECT n.id, n_lines, logical, stripped, (SELECT count(*) FROM st WHERE st.id = n.id)::INT AS n_statements FROM n JOIN s USING (id)")
+def profile_p2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without comments, logical lines and statements of every chunk: numbers and hashes."""
+    return profile.logical_profile(_texts(spark, folder))
+
+
+@query(f"WITH RECURSIVE {BLOCKS_SQL} SELECT id, depth, tier, branches, in_loops, kinds, array_to_string(vars, ', ') AS variables, truncated, summary FROM summed")
 def profile_p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Block structure of every chunk: depth, tier, branches, loops, kinds and variables."""
-    return profile.profile_text(profile.block_profile(_texts(spark, folder).select("id", "text")))
+    """Block structure of every chunk: depth, tier, branches, loops, kinds, interdependent variables and the summary."""
+    p = profile.profile_text(profile.block_profile(_texts(spark, folder).select("id", "text")))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    return p.select("id", "depth", "tier", "branches", "in_loops", kinds.alias("kinds"), F.array_join("interdependent", ", ").alias("variables"), "truncated", "summary")
 
 
 PRESCAN_SQL = " UNION ALL ".join(
@@ -419,6 +472,9 @@ PRESCAN_SQL = " UNION ALL ".join(
     if own
 )
 
+PATTERN_LINE_SQL = _case('pattern', {n: f'  - [{r.upper()}] {d}: {note}' for n, r, d, note, _, _ in profile.PATTERNS}, 'NULL')
+PATTERN_PLACE_SQL = _case('pattern', {n: f'{k:02d}' for k, (n, *_) in enumerate(profile.PATTERNS)}, 'NULL')
+
 
 def _prescan(spark: SparkSession, folder: str) -> DataFrame:
     return profile.prescan(_texts(spark, folder).withColumn("family", T.family(F.col("name"))))
@@ -431,7 +487,7 @@ def profile_p11_prescan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH typed AS (SELECT *, {FAMILY} AS family FROM chunks), hits AS (SELECT * FROM ({PRESCAN_SQL}) WHERE indicator IS NOT NULL)
- SELECT id, 'COBOL translation patterns detected in this chunk:' || chr(10) || string_agg({_case('pattern', {n: f'  - [{r.upper()}] {d}: {note}' for n, r, d, note, _, _ in profile.PATTERNS}, 'NULL')}, chr(10) ORDER BY {_case('pattern', {n: f'{k:02d}' for k, (n, *_) in enumerate(profile.PATTERNS)}, 'NULL')}) || chr(10) AS block FROM hits GROUP BY id""")
+ SELECT id, 'Signs of translated code in this part:' || chr(10) || string_agg({PATTERN_LINE_SQL}, chr(10) ORDER BY {PATTERN_PLACE_SQL}) || chr(10) AS block FROM hits GROUP BY id""")
 def profile_p12_block(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt block of each chunk's patterns."""
     return profile.prescan_text(_prescan(spark, folder))
@@ -519,28 +575,54 @@ def profile_p27_model_limits(spark: SparkSession, folder: str) -> DataFrame:
 # --- extractor answers ---------------------------------------------------------------------------------------------
 
 
+#: Ways in which an answer may come: whole, fenced, behind a thought, with a comma too many, cut within a rule, with a list as
+#: text, with a number as text and a true flag, without rules, as a list, as no JSON at all, and cut within the first rule.
+WAYS = 11
+
+
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers an extractor might give: whole, in a fence, behind a thought, with a comma too many, and cut."""
+    """Answers an extractor might give, by the rule's number."""
     r = table(spark, folder, "rules").select("rule_id", "label", "description", "type", "confidence", F.col("source_chunk").alias("chunk_label"))
-    rule = F.to_json(F.struct("label", "type", "description", "confidence"))
+    text = lambda c: F.coalesce(F.regexp_replace(F.regexp_replace(c, r"[\\\\\"\x00-\x1f]", " "), "^$", " "), F.lit("-"))
+    field = lambda name, c: F.concat(F.lit(f'"{name}":"'), text(F.col(c)), F.lit('"'))
+    head = F.concat(F.lit("{"), field("label", "label"), F.lit(","), field("type", "type"))
+    rule = F.concat(head, F.lit(","), field("description", "description"), F.lit("}"))
     whole = F.concat(F.lit('{"rules":['), rule, F.lit("]}"))
-    way = F.pmod(F.xxhash64("rule_id"), F.lit(5))
+    way = F.col("rule_id") % WAYS
     answer = (
         F.when(way == 0, whole).when(way == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(way == 2, F.concat(F.lit("<think>let me see</think>"), whole))
-        .when(way == 3, F.concat(F.lit('{"rules":['), rule, F.lit(",]}"))).otherwise(F.concat(F.lit('{"rules":['), rule, F.lit(',{"label":"next","description":"cut he')))
+        .when(way == 3, F.concat(F.lit('{"rules":['), rule, F.lit(",]}"))).when(way == 4, F.concat(F.lit('{"rules":['), rule, F.lit(',{"label":"next","description":"cut he')))
+        .when(way == 5, F.concat(F.lit('{"rules":['), head, F.lit(',"description":["a",null,"b"],"notes":{"k":[1,2]}}]}')))
+        .when(way == 6, F.concat(F.lit('{"rules":['), head, F.lit(',"description":12,"cobol_origin":true},{"label":" "},{}]}')))
+        .when(way == 10, F.concat(F.lit('{"rules":['), head, F.lit(',"description":"cut he'))).when(way == 7, F.lit('{"rules":[]}')).when(way == 8, F.concat(F.lit("["), rule, F.lit("]"))).otherwise(F.lit("no rules here"))
     )
     return r.select(F.col("rule_id").alias("id"), "chunk_label", answer.alias("answer"))
 
 
-@query()
+TEXT_SQL = "coalesce(regexp_replace(regexp_replace({0}, '[\\\\\"\\x00-\\x1f]', ' ', 'g'), '^$', ' '), '-')"
+ANSWERS_SQL = f"""parts AS (SELECT rule_id AS id, rule_id % {WAYS} AS way, source_chunk, {TEXT_SQL.format('label')} AS label, {TEXT_SQL.format('type')} AS type, {TEXT_SQL.format('description')} AS description FROM rules),
+ told AS (SELECT *, '{{"label":"' || label || '","type":"' || type || '"' AS head FROM parts)"""
+
+
+@query(f"""WITH {ANSWERS_SQL}, whole AS (SELECT *, head || ',"description":"' || description || '"}}' AS rule FROM told)
+ SELECT id, CASE WHEN way <= 3 THEN '{{"rules":[' || rule || ']}}' WHEN way = 4 THEN '{{"rules":[' || rule || ']}}' WHEN way = 10 THEN '{{"rules":[' || head || '}}]}}' WHEN way = 5 THEN '{{"rules":[' || head || ',"description":["a",null,"b"],"notes":{{"k":[1,2]}}}}]}}'
+ WHEN way = 6 THEN '{{"rules":[' || head || ',"description":12,"cobol_origin":true}},{{"label":" "}},{{}}]}}' WHEN way = 7 THEN '{{"rules":[]}}' WHEN way = 8 THEN '[' || rule || ']' END AS json FROM whole""")
 def j1_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers repaired to JSON that parses."""
+    """Answers repaired to JSON that parses; null where no repair helps."""
     return extract.repaired(_answers(spark, folder))
 
 
-@query()
+#: The key that an answer's rule gets if it names none.
+RULE_KEY_SQL = "sha256(id || '|' || pos || '|' || label)"
+
+
+@query(rf"""WITH {ANSWERS_SQL}, one AS (SELECT id, 0 AS pos, 'ok' AS status, label, type, CASE way WHEN 5 THEN 'a; ; b' WHEN 6 THEN '12' WHEN 10 THEN '' ELSE description END AS description, source_chunk AS reference, way = 6 AS cobol_origin, CASE way WHEN 5 THEN '{{"k":[1,2]}}' ELSE '' END AS notes FROM told WHERE (way <= 6 OR way = 10) AND regexp_matches(label, '\S')
+  UNION ALL SELECT id, 2, 'ok', 'Unknown Rule', 'BusinessRule', '', source_chunk, false, '' FROM told WHERE way = 6),
+ none AS (SELECT id, NULL::INT AS pos, CASE way WHEN 8 THEN 'failed' WHEN 9 THEN 'unreadable' ELSE 'ok' END AS status FROM told WHERE way IN (7, 8, 9) OR (NOT regexp_matches(label, '\S') AND way <> 6))
+ SELECT id, pos, status, {RULE_KEY_SQL} AS rule_key, label, {TYPE_SQL} AS type, description, reference, 'Medium' AS confidence, '' AS migration_notes, 'low' AS risk, '' AS code_snippet, cobol_origin, notes FROM one
+ UNION ALL SELECT id, pos, status, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM none""")
 def j6_rules_of_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules read from answers."""
+    """Rules read from answers, with lists, numbers and flags in their fields, and answers that hold none."""
     return extract.answers_to_rules(_answers(spark, folder))
 
 
@@ -553,7 +635,14 @@ def j10_enums(spark: SparkSession, folder: str) -> DataFrame:
 # --- similarity, retrieval, joins --------------------------------------------------------------------------------
 
 
-@query()
+LCS_SQL = """list_reduce(list_prepend(full_mask, list_transform(string_split(b, ''), lambda ch: coalesce(list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[(i + 1)::BIGINT] = ch THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END)), 0)::HUGEINT)),
+ lambda v, m: ((v + (v & m)) | (v - (v & m))) & full_mask)"""
+
+
+@query(f"""WITH f AS (SELECT rule_id, {MATCHING_SQL.format('label')} AS a, {MATCHING_SQL.format('description')} AS b FROM rules),
+ m AS (SELECT *, ((1::HUGEINT << length(a)::INT) - 1)::HUGEINT AS full_mask FROM f),
+ c AS (SELECT rule_id, a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE length(a) - bit_count({LCS_SQL}) END::INT AS common FROM m)
+ SELECT rule_id, common, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * common / (length(a) + length(b)) END, 6)::DOUBLE AS ratio FROM c""")
 def m1_label_lcs(spark: SparkSession, folder: str) -> DataFrame:
     """Common subsequence of each rule's label and description, and its ratio."""
     r = table(spark, folder, "rules").select("rule_id", T.matching_form(F.col("label")).alias("a"), T.matching_form(F.col("description")).alias("b"))
@@ -573,11 +662,12 @@ def m4_top_entries(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.top_entries(chunks, table(spark, folder, "gt_rules").select(F.col("gt_id").alias("entry_id"), F.col("rule_text").alias("text")))
 
 
-@query()
+@query("""WITH l AS (SELECT chunk_id AS id, unnest(string_split(source_text, chr(10))) AS line, generate_subscripts(string_split(source_text, chr(10)), 1) AS no, len(string_split(source_text, chr(10))) AS n FROM chunks WHERE source_text IS NOT NULL)
+ SELECT id, no::INT AS no, 'Context' AS kind, line FROM l UNION ALL SELECT chunk_id, 0, 'Removed', '<<first>>' FROM chunks WHERE source_text IS NOT NULL UNION ALL SELECT id, (n + 1)::INT, 'Added', '<<last>>' FROM l WHERE no = 1""")
 def m5_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Line diff of each chunk against itself without blank lines."""
-    c = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.col("source_text").alias("before"), F.regexp_replace("source_text", r"\n\s*(?=\n)", "").alias("after"))
-    return edit.diffs(c)
+    """Line diff of each chunk with a line before it and the chunk with a line behind it."""
+    c = table(spark, folder, "chunks").where("source_text is not null")
+    return edit.diffs(c.select(F.col("chunk_id").alias("id"), F.concat(F.lit("<<first>>\n"), "source_text").alias("before"), F.concat("source_text", F.lit("\n<<last>>")).alias("after")))
 
 
 @query(f"""WITH {RULES_SQL} SELECT f.file_id, f.file_name, count(r.rule_id) AS rules, count(*) FILTER (r.confidence = 'High') AS high, count(*) FILTER (r.decision = 'Accepted') AS accepted, count(DISTINCT r.type) AS types FROM source_files f LEFT JOIN rules_named r USING (file_id) GROUP BY ALL""")
@@ -712,14 +802,19 @@ def u1_category_universe(spark: SparkSession, folder: str) -> DataFrame:
 # --- prompts and edits ---------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, typed AS (SELECT *, {FAMILY} AS family FROM chunks), hits AS (SELECT * FROM ({PRESCAN_SQL}) WHERE indicator IS NOT NULL),
+ blocks AS (SELECT id, 'Signs of translated code in this part:' || chr(10) || string_agg({PATTERN_LINE_SQL}, chr(10) ORDER BY {PATTERN_PLACE_SQL}) || chr(10) AS block FROM hits GROUP BY id),
+ {SYMBOL_SQL}, lowered AS (SELECT chunk_id AS id, file_name AS name, lower(source_text) AS body FROM chunks), referred AS (SELECT DISTINCT t.id, s.name AS file, s.symbol FROM lowered t JOIN syms s ON s.name <> t.name AND contains(t.body, lower(s.symbol))),
+ contexts AS (SELECT id, string_agg(file || ': ' || list, chr(10) ORDER BY file) AS context FROM (SELECT id, file, string_agg(symbol, ', ' ORDER BY symbol) AS list FROM referred GROUP BY ALL) GROUP BY id)
+ SELECT c.chunk_id AS id, concat_ws(chr(10) || chr(10), 'List the rules in this ' || {_case(EXT.format('file_name'), T.LANGUAGES, _q('Unknown'))} || ' code as JSON: {{"rules": [...]}}.', CASE WHEN label <> '' THEN 'Part: ' || label END, 'Structure:' || chr(10) || summary, block, 'Context:' || chr(10) || context, 'Code:' || chr(10) || source_text) AS prompt
+ FROM chunks c JOIN summed s ON s.id = c.chunk_id LEFT JOIN blocks b ON b.id = c.chunk_id LEFT JOIN contexts x ON x.id = c.chunk_id""")
 def e1_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """The extraction prompt of every chunk, with profile and patterns."""
+    """The extraction prompt of every chunk, with profile, patterns and the symbols of other files as context."""
     texts = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.col("file_name").alias("name"), "label", F.col("source_text").alias("text"))
     summary = profile.profile_text(profile.block_profile(texts.select("id", "text"))).select("id", "summary")
     flags = profile.prescan_text(_prescan(spark, folder))
-    joined = texts.join(summary, "id").join(flags, "id", "left")
-    return joined.select("id", export.extraction_prompt(T.language(F.col("name")), F.col("label"), F.col("summary"), F.col("block"), F.lit(None).cast("string"), F.col("text")).alias("prompt"))
+    joined = texts.join(summary, "id").join(flags, "id", "left").join(profile_p15_reference_text(spark, folder).withColumnRenamed("block", "context"), "id", "left")
+    return joined.select("id", export.extraction_prompt(T.language(F.col("name")), F.col("label"), F.col("summary"), F.col("block"), F.col("context"), F.col("text")).alias("prompt"))
 
 
 @query(f"""WITH {RULES_SQL}, l AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY rule_id) AS no, '[' || coalesce(type, '') || '] ' || coalesce(label, '') || ': ' || coalesce(description, '') AS t FROM rules_named)

@@ -55,8 +55,8 @@ def document_text(content: bytes, name: str) -> str:
     return content.decode("utf-8", errors="replace")
 
 
-def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path and text of the .txt, .doc and .docx files below ``folder``; an unreadable one has a null text."""
+def document_texts(files: DataFrame) -> DataFrame:
+    """path and text of .txt, .doc and .docx files (path, content); an unreadable one has a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -68,5 +68,9 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
                     texts.append(None)
             yield pd.DataFrame({"path": batch["path"], "text": texts})
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return raw.where(extension(F.col("path")).isin("txt", "doc", "docx")).select("path", "content").mapInPandas(run, "path string, text string")
+    return files.where(extension(F.col("path")).isin("txt", "doc", "docx")).select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """path and text of the .txt, .doc and .docx files below ``folder``; an unreadable one has a null text."""
+    return document_texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
