@@ -7,13 +7,13 @@ passages whose latent cosine with an item's passage is high are compared again w
 what remains is aligned word by word: a longest common subsequence, within which a run of the item's words with
 few errors must be found. How many of its telling words (numbers and codes: the answer) agree is reported only.
 
-The items are the stated query set: they are taken in blocks of bounded size, each against all documents.
+The items are the stated query set: they are taken in blocks of bounded size, each against all documents, so that a
+task holds the vectors of one block only.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.plans.lineage import settle
+
 BLOCK, PASSAGE = 13, 3
 #: Rows of the hashed term table; bounds what is counted, shipped and held.
 TERM_BITS = 18
@@ -35,15 +37,16 @@ _WORD = re.compile(r"[a-z0-9]+(?:['-][a-z0-9]+)*")
 @dataclass(frozen=True)
 class Leakage:
     """``latent_cosine`` proposes passages, ``term_cosine`` items; a leak is a run of ``least_run`` item words with
-    at most one error in ``error_every`` words. ``sample`` bounds the corpus passages in the SVD's fit."""
+    at most one error in ``error_every`` words. ``sample`` is about the number of documents, taken by the hash of
+    their ids, that the SVD is fitted on beside all items; the search covers every passage of every document."""
 
-    dim: int = 48
-    latent_cosine: float = 0.2
+    dim: int = 64
+    latent_cosine: float = 0.15
     term_cosine: float = 0.35
     least_run: int = 25
     error_every: int = 8
     items_per_block: int = 4_000
-    sample: int = 8_000
+    sample: int = 1_000
     power_steps: int = 2
 
 
@@ -162,25 +165,30 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(out[0])
 
 
-def randomised_svd(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, m: Leakage) -> np.ndarray:
-    """Right singular vectors (term rows x dim) of weighted passages: all items' and a bounded sample of the corpus.
+#: Rows of the basis that are added up in one group; bounds what a task of the SVD's sum holds.
+ROWS_TOGETHER = 4096
+
+
+def randomised_svd(texts: DataFrame, n_texts: int, items: list[np.ndarray], idf: np.ndarray, m: Leakage) -> np.ndarray:
+    """Right singular vectors (term rows x dim) of weighted passages: all items' and those of a sample of the corpus.
 
-    Subspace iteration on the driver: the first 40 blocks of ``sample`` / 40 documents, whichever come first, and the
-    items are multiplied with the current basis and back; the products are added up and orthogonalised. Only words
-    of the items have a row in the basis.
+    Distributed subspace iteration: every task multiplies its documents' passages with the current basis and back, the
+    products are added up by blocks of rows, and the sum is orthogonalised. Documents are sampled by the hash of
+    their ids and read whole. Only words of the items have a row in the basis, as only they can speak for an item.
     """
     vocabulary = np.unique(np.concatenate(items)) if items else np.zeros(0, dtype=np.int64)
     vocabulary = vocabulary[vocabulary > 0]
     column = np.zeros(1 << TERM_BITS, dtype=np.int32)
     column[vocabulary] = np.arange(1, len(vocabulary) + 1)
     weight = np.concatenate([[0], idf[vocabulary]]).astype(np.float32)
+    square = (idf**2)[:, None]
 
     def product(docs: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
         """A^T (A basis) of the passages of the documents, normalised by their whole weight."""
         out = np.zeros_like(basis)
         for at in range(0, len(docs), 200):
             flat, _ = blocks(docs[at : at + 200])
-            norm = np.sqrt(np.maximum(passages(flat, (idf**2)[:, None]), 1e-9))
+            norm = np.sqrt(np.maximum(passages(flat, square), 1e-9))
             own = column[flat]
             y = passages(own, weight[:, None] * basis) / norm**2
             for k in range(PASSAGE):
@@ -189,30 +197,70 @@ def randomised_svd(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, m
         out[0] = 0
         return out
 
-    known = Terms()
-    sampled = [np.fromiter(map(known.__getitem__, words(t)), dtype=np.int32)[: BLOCK * 40] for (t,) in texts.select("text").limit(max(1, m.sample // 40)).collect()]
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Terms()
+        for batch in batches:
+            yield pd.DataFrame({"terms": [np.fromiter(map(known.__getitem__, words(t)), dtype=np.int32).tobytes() for t in batch["text"]]})
+
+    spread = 1 << 30
+    chosen = F.pmod(F.xxhash64("id"), F.lit(spread)) < max(1, int(spread * min(1.0, m.sample / max(1, n_texts))))
+    sampled = settle(texts.where(chosen).select("text").mapInPandas(read, "terms binary"), "sample")
+    documents = sampled.count()
+
+    def corpus(basis: np.ndarray) -> np.ndarray:
+        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros_like(basis)
+            for batch in batches:
+                total += product([np.frombuffer(t, dtype=np.int32) for t in batch["terms"]], basis)
+            at = range(0, len(total), ROWS_TOGETHER)
+            yield pd.DataFrame({"block": [b // ROWS_TOGETHER for b in at], "part": [total[b : b + ROWS_TOGETHER].tobytes() for b in at]})
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            part = np.frombuffer(frame["part"].iloc[0], dtype=np.float32).copy()
+            for other in frame["part"].iloc[1:]:
+                part += np.frombuffer(other, dtype=np.float32)
+            return pd.DataFrame({"block": frame["block"].iloc[:1], "part": [part.tobytes()]})
+
+        parts = sampled.mapInPandas(multiply, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
+        out = np.zeros_like(basis)
+        for b, part in parts.collect():  # the basis itself, in blocks
+            own = np.frombuffer(part, dtype=np.float32).reshape(-1, basis.shape[1])
+            out[b * ROWS_TOGETHER : b * ROWS_TOGETHER + len(own)] = own
+        return out
+
     rng = np.random.default_rng(5)
     basis = rng.normal(size=(len(vocabulary) + 1, m.dim)).astype(np.float32)
     basis[0] = 0
     for _ in range(m.power_steps):
         # the items stand for the queries' space and weigh as much as the corpus sample
-        z = product(items, basis) * max(1, len(sampled) // max(1, len(items))) + product(sampled, basis)
+        z = product(items, basis) * max(1, documents // max(1, len(items))) + corpus(basis)
         basis = np.linalg.qr(z)[0].astype(np.float32)
     out = np.zeros((1 << TERM_BITS, m.dim), dtype=np.float32)
     out[vocabulary] = basis[1:, : m.dim] if basis.shape[1] == m.dim else np.pad(basis[1:], ((0, 0), (0, m.dim - basis.shape[1])))
     return out
 
 
-def opening_sentences(texts: list[str]) -> set[str]:
-    """First sentences that several items share: instructions, not passages."""
-    first = Counter(" ".join(words(re.split(r"(?<=[.!?:])\s", t.strip(), maxsplit=1)[0])) for t in texts)
-    return {s for s, n in first.items() if n > 1 and s}
+def first_sentence(text: str) -> tuple[str, str | None]:
+    """The words of the first sentence, and the text behind it (None if there is none)."""
+    parts = re.split(r"(?<=[.!?:])\s", text.strip(), maxsplit=1)
+    return " ".join(words(parts[0])), parts[1] if len(parts) > 1 else None
+
+
+def opening_sentences(items: DataFrame) -> set[str]:
+    """First sentences that several of all items (text) share: instructions, not passages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"sentence": [first_sentence(t)[0] for t in batch["text"]]})
+
+    first = items.select("text").mapInPandas(run, "sentence string").where("sentence <> ''")
+    return {r[0] for r in first.groupBy("sentence").agg(F.count("*").alias("n")).where("n > 1").select("sentence").collect()}
 
 
 def without_opening(text: str, shared: set[str]) -> list[str]:
     """The item's words without a shared opening sentence."""
-    parts = re.split(r"(?<=[.!?:])\s", text.strip(), maxsplit=1)
-    return words(parts[1]) if len(parts) > 1 and " ".join(words(parts[0])) in shared else words(text)
+    first, rest = first_sentence(text)
+    return words(rest) if rest is not None and first in shared else words(text)
 
 
 def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndarray, m: Leakage):
@@ -225,16 +273,25 @@ def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndar
     vocabulary = np.unique(np.concatenate(rows))
     column = np.zeros(1 << TERM_BITS, dtype=np.int32)
     column[vocabulary] = np.arange(1, len(vocabulary) + 1)
-    own = np.zeros((len(spans), len(vocabulary) + 1), dtype=np.float32)
-    for r, (k, s) in enumerate(spans):
-        np.add.at(own[r], column[rows[k][s : s + length]], 1)
-    whole = own * np.concatenate([[0], idf[vocabulary]]).astype(np.float32)
-    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-9)
+    weight = np.concatenate([[0], idf[vocabulary]]).astype(np.float32)
     small = np.concatenate([np.zeros((1, basis.shape[1])), basis[vocabulary]]).astype(np.float32)
-    latent = whole @ small
+    # the passages' weights by term: postings of each column, one after the other
+    span, col, value = [], [], []
+    latent = np.zeros((len(spans), basis.shape[1]), dtype=np.float32)
+    for r, (k, s) in enumerate(spans):
+        own, n = np.unique(column[rows[k][s : s + length]], return_counts=True)
+        w = n * weight[own]
+        w /= max(np.linalg.norm(w), 1e-9)
+        latent[r] = w @ small[own]
+        span.append(np.full(len(own), r, dtype=np.int32))
+        col.append(own)
+        value.append((w * weight[own]).astype(np.float32))
+    cols = np.concatenate(col)
+    order = np.argsort(cols, kind="stable")
+    posted, worth = np.concatenate(span)[order], np.concatenate(value)[order]
+    begins = np.searchsorted(cols[order], np.arange(len(vocabulary) + 2))
     item_of = np.array([k for k, _ in spans])
-    weight = np.concatenate([[0], idf[vocabulary]]).astype(np.float32)
-    table, by_term = weight[:, None] * small, np.ascontiguousarray((whole * weight).T)
+    table = weight[:, None] * small
     square = (idf**2).astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +313,10 @@ def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndar
                 regions: dict[tuple[int, int], list[int]] = {}
                 grid = compact.reshape(-1, BLOCK)
                 for i in near:
-                    cosine = by_term[grid[i : i + PASSAGE].ravel()].sum(axis=0) / norm[i]
+                    own = grid[i : i + PASSAGE].ravel()
+                    n = begins[own + 1] - begins[own]
+                    at_term = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    cosine = np.bincount(posted[at_term], weights=worth[at_term], minlength=len(item_of)) / norm[i]
                     doc = int(np.searchsorted(starts, i, side="right")) - 1
                     for k in np.unique(item_of[cosine >= m.term_cosine]):
                         regions.setdefault((doc, int(k)), []).append(int(i - starts[doc]))
@@ -294,16 +354,15 @@ def aligned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
     idf = np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
     idf[0] = 0
     own = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    count = own.count()
+    shared = opening_sentences(own)
+    n_blocks = max(1, -(-own.count() // m.items_per_block))
     out = None
-    for b in range(max(1, -(-count // m.items_per_block))):
-        block = own if count <= m.items_per_block else own.where(F.pmod(F.xxhash64("id"), F.lit(-(-count // m.items_per_block))) == b)
-        rows = block.collect()
-        shared = opening_sentences([r["text"] for r in rows])
+    for b in range(n_blocks):
+        rows = own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect()
         held = [(r["id"], ws) for r in rows if (ws := without_opening(r["text"], shared))]
         if not held:
             continue
-        basis = randomised_svd(texts, [np.array([term(w) for w in ws], dtype=np.int32) for _, ws in held], idf, m)
+        basis = randomised_svd(texts, n, [np.array([term(w) for w in ws], dtype=np.int32) for _, ws in held], idf, m)
         pairs = texts.mapInPandas(searcher(held, idf, basis, m), schema)
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

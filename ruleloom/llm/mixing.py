@@ -20,7 +20,7 @@ from ruleloom.plans.lineage import settle
 #: Fixed value: the public split pattern that belongs to the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How many sources may have targets; they are collected.
+#: How many sources may have targets, a row each on the driver; more are an error, none is left out.
 MOST_SOURCES = 100_000
 
 
@@ -55,11 +55,13 @@ def rates(totals: DataFrame, targets: DataFrame, size: float | None = None) -> l
     Without ``size`` the mixture is the largest in which every source has exactly its share within its cap. With
     ``size`` tokens a source that would pass its cap is held at it and the others share the rest by weight. Sources
     without tokens are left out, and the shares are taken relative to the remaining ones; targets of null, zero or
-    negative share get nothing.
+    negative share get nothing. More than ``MOST_SOURCES`` target sources are an error.
     """
     weights = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"))
     weights = weights.where("source is not null and share > 0 and cap > 0").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
-    rows = [r.asDict() for r in weights.join(totals, "source", "left").select("source", "share", "cap", F.coalesce("tokens", F.lit(0)).alias("tokens")).limit(MOST_SOURCES).collect()]
+    rows = [r.asDict() for r in weights.join(totals, "source", "left").select("source", "share", "cap", F.coalesce("tokens", F.lit(0)).alias("tokens")).limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources with a target")
     live = [r for r in rows if r["tokens"] > 0]
     whole = sum(r["share"] for r in live) or 1.0
     for r in rows:

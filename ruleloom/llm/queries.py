@@ -12,8 +12,8 @@ from ruleloom.llm.leakage import aligned, leaks
 from ruleloom.llm.mixing import mixture
 from ruleloom.llm.near_dup import near_duplicates, pairs_of
 from ruleloom.llm.packing import items, pack
-from ruleloom.llm.splitting import header_lines, pieces
-from ruleloom.llm.survivor import confidence_level, golden, reference_level, survivors
+from ruleloom.llm.splitting import pieces
+from ruleloom.llm.survivor import confidence_level, golden, reference_level, shared, survivors
 from ruleloom.llm.subjects import document_subjects
 from ruleloom.llm.truncation import truncated
 from ruleloom.plans.lineage import settle
@@ -54,10 +54,10 @@ CUT_FIELDS = ["description", "migration_notes"]
 MERGED_FIELDS = ["description", "confidence", "source_reference", "migration_notes"]
 
 
-def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+def _cuts(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
     models = table(spark, folder, "sessions").select(F.col("session_id").alias("key"), F.col("model_used").alias("source"))
     rules = table(spark, folder, "rules").select("rule_id", "session_id", "source_reference", *CUT_FIELDS)
-    return truncated(rules, CUT_FIELDS, "rule_id", "session_id", context=("source_reference",), sources=models, thresholds=CUT_THRESHOLDS)
+    return truncated(rules, CUT_FIELDS, "rule_id", "session_id", context=("source_reference",), sources=models, wanted=wanted, thresholds=CUT_THRESHOLDS)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,13 +73,14 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def _winners(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rules = table(spark, folder, "rules")
-    groups = settle(near_duplicates(rules, "rule_id", "description"), "groups")
-    cuts = _cuts(spark, folder).groupBy("id").pivot("field", CUT_FIELDS).agg(F.first(F.col("is_cut").cast("int")))
+    members = settle(shared(settle(near_duplicates(rules, "rule_id", "description"), "groups")), "members")
+    # the model counts all texts; only those of groups are scored
+    cuts = _cuts(spark, folder, members).groupBy("id").pivot("field", CUT_FIELDS).agg(F.first(F.col("is_cut").cast("int")))
     cuts = cuts.select("id", *[F.col(f).alias(f"{f}_level") for f in CUT_FIELDS])
     rules = rules.select("rule_id", "extracted_at", *MERGED_FIELDS).join(cuts, F.col("rule_id") == F.col("id"), "left").drop("id")
     levels = {f: F.col(f"{f}_level") for f in CUT_FIELDS}
     levels |= {"confidence": confidence_level(F.col("confidence")), "source_reference": reference_level(F.col("source_reference"))}
-    return survivors(rules, groups, "rule_id", "extracted_at", levels), rules
+    return survivors(rules, members, "rule_id", "extracted_at", levels), rules
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,16 +120,16 @@ def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of oversized chunks that open a division, section, paragraph or routine."""
-    capacity, _ = _limit(spark, folder, "split")
-    long = _texts(spark, folder).where(F.length("text") > capacity)
-    return header_lines(long).select(F.col("id").alias("chunk_id"), "line_no").distinct()
+    """The lines of oversized chunks that open a division, section, paragraph or routine: the boundaries of its pieces."""
+    capacity, overlap = _limit(spark, folder, "split")
+    split = pieces(_texts(spark, folder), capacity, overlap)
+    return split.select(F.col("id").alias("chunk_id"), F.explode("headers").alias("line_no")).distinct()
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of oversized chunks, each with label and line range; consecutive pieces share lines."""
     capacity, overlap = _limit(spark, folder, "split")
-    return pieces(_texts(spark, folder), capacity, overlap).withColumnRenamed("id", "chunk_id")
+    return pieces(_texts(spark, folder), capacity, overlap).drop("headers").withColumnRenamed("id", "chunk_id")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

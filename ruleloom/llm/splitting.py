@@ -135,7 +135,7 @@ def _strengths(lines: list[str], kind: str, opened: dict[int, tuple[str, str]])
 
 
 def split(text: str, capacity: int, overlap: int, kind: str = "vb", first_line: int = 1, label: str | None = None) -> list[dict]:
-    """Pieces of a text, each with piece_no, label, start_line, end_line and text of at most ``capacity`` characters.
+    """Pieces of a text, each with piece_no, label, start_line, end_line, own headers and text of at most ``capacity`` characters.
 
     Each piece but the first begins with the ``overlap`` lines before it, with fewer if those do not fit beside a
     single line. A line longer than the capacity is cut at spaces, or anywhere if it has none; cuts within a line
@@ -200,18 +200,22 @@ def split(text: str, capacity: int, overlap: int, kind: str = "vb", first_line:
         opens = at < len(heads) and heads[at] <= last and all(not lines[n].strip() or n in opened or strength[n] >= 2 or _is_comment(lines[n], kind) for n in range(start, heads[at]))
         own = opened[heads[at]][1] if opens else opened[heads[at - 1]][1] if at else label
         body = "".join(a[1] for a in atoms[shared[k] : after[k]])
-        out.append({"piece_no": len(out), "label": own, "start_line": first_line + atoms[shared[k]][0], "end_line": first_line + last, "own_line": first_line + start, "text": body})
+        # a line cut within itself belongs to the piece that it begins in
+        begun = start if atoms[k][2] >= 0 else start + 1
+        inside = [first_line + h for h in heads[bisect.bisect_left(heads, begun) : bisect.bisect_right(heads, last)]]
+        out.append({"piece_no": len(out), "label": own, "start_line": first_line + atoms[shared[k]][0], "end_line": first_line + last, "own_line": first_line + start, "headers": inside, "text": body})
     return out
 
 
-PIECES = "id long, piece_no int, label string, start_line int, end_line int, own_line int, n_chars int, piece_text string"
+PIECES = "id long, piece_no int, label string, start_line int, end_line int, own_line int, headers array<int>, n_chars int, piece_text string"
 
 
 def pieces(df: DataFrame, capacity: int, overlap: int) -> DataFrame:
     """Pieces of the rows of (id, name, label, start_line, text) that are longer than ``capacity`` characters.
 
     ``start_line`` null counts as 1; null texts have no pieces. ``own_line`` is where a piece starts without its
-    overlap. Each row is split alone, whatever its length; repeated rows give repeated pieces.
+    overlap; ``headers`` are the lines of its own part that open a division, section, paragraph or routine, so that the
+    pieces of a text have each of its headers once. Each row is split alone, whatever its length; repeated rows give repeated pieces.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,24 +223,8 @@ def pieces(df: DataFrame, capacity: int, overlap: int) -> DataFrame:
             rows = []
             for i, name, label, start, text in zip(batch["id"], batch["name"], batch["label"], batch["start_line"], batch["text"], strict=True):
                 for p in split(text, capacity, overlap, family(name, text), 1 if start != start or start is None else int(start), label):
-                    rows.append((i, p["piece_no"], p["label"], p["start_line"], p["end_line"], p["own_line"], len(p["text"]), p["text"]))
-            yield pd.DataFrame(rows, columns=["id", "piece_no", "label", "start_line", "end_line", "own_line", "n_chars", "piece_text"])
+                    rows.append((i, p["piece_no"], p["label"], p["start_line"], p["end_line"], p["own_line"], p["headers"], len(p["text"]), p["text"]))
+            yield pd.DataFrame(rows, columns=["id", "piece_no", "label", "start_line", "end_line", "own_line", "headers", "n_chars", "piece_text"])
 
     long = df.where(F.length("text") > capacity).select(F.col("id").cast("long").alias("id"), "name", "label", F.col("start_line").cast("int").alias("start_line"), "text")
     return long.mapInPandas(run, PIECES)
-
-
-def header_lines(df: DataFrame) -> DataFrame:
-    """``id``, ``line_no``, ``level``, ``label`` of every header line of the rows of (id, name, start_line, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, name, start, text in zip(batch["id"], batch["name"], batch["start_line"], batch["text"], strict=True):
-                first = 1 if start != start or start is None else int(start)
-                for k, (level, label) in headers(text.split("\n"), family(name, text)).items():
-                    rows.append((i, first + k, level, label))
-            yield pd.DataFrame(rows, columns=["id", "line_no", "level", "label"])
-
-    own = df.where(F.length("text") > 0).select(F.col("id").cast("long").alias("id"), "name", F.col("start_line").cast("int").alias("start_line"), "text")
-    return own.mapInPandas(run, "id long, line_no int, level string, label string")

@@ -206,9 +206,9 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     surplus = surplus.join(around, ["source", "field", "size"], "left")
     surplus = surplus.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.log((F.col("here") + 3) / (F.coalesce("near", F.lit(0.0)) + 3)).alias("surplus"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("size") == F.col("z"))
-    scored = named.join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
     if wanted is not None:
-        scored = scored.join(wanted.select("id"), "id", "left_semi")
+        named = named.join(wanted.select("id"), "id", "left_semi")
+    scored = named.join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
     odds = F.log(going / (1 - going)) + F.coalesce("surplus", F.lit(0.0))
     limit = F.lit(default_threshold)
     for (language, column), value in (thresholds or {}).items():

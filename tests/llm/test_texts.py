@@ -5,10 +5,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ruleloom.llm.leakage import lcs_pairs, leaks, longest_run, words
+from ruleloom.llm import mixing
+from ruleloom.llm.leakage import Leakage, lcs_pairs, leaks, longest_run, words
 from ruleloom.llm.mixing import count_tokens, mixture, rates
 from ruleloom.llm.packing import balanced, items, pack
-from ruleloom.llm.splitting import family, header_lines, headers, pieces, split
+from ruleloom.llm.splitting import family, headers, pieces, split
 from ruleloom.llm.subjects import Clustering, document_subjects
 
 COBOL = """000100 PROCEDURE DIVISION.
@@ -61,7 +62,7 @@ def test_pieces_share_lines_and_begin_at_routines(spark):
     df = spark.createDataFrame([(1, "a.vb", None, None, text, "x"), (2, None, "l", 5, None, "x"), (3, "a.vb", "l", 1, "", "x"), (4, "a.txt", "l", 1, "y" * 3000, "x")], "id long, name string, label string, start_line int, text string, piece_no string")
     rows = pieces(df, 800, 3).collect()
     assert {r["id"] for r in rows} == {1, 4} and max(r["n_chars"] for r in rows) <= 800
-    assert {r["line_no"] for r in header_lines(df).collect()} == {1 + 32 * i for i in range(6)}
+    assert [h for r in sorted(rows) if r["id"] == 1 for h in r["headers"]] == [1 + 32 * i for i in range(6)]
     assert pieces(df.limit(0), 800, 3).count() == 0
 
 
@@ -146,6 +147,16 @@ def test_a_leak_whose_only_number_is_replaced(spark):
     assert got == {(i, 50 + i, 1, 0) for i in range(4)}
 
 
+def test_items_in_blocks_share_their_instructions(spark):
+    """An instruction that two items of different blocks share is none of either's passages."""
+    head = "State the rule that this fragment enforces and name each of the fields that it reads or writes, then say where it stands, who may change it and why it holds."
+    items_ = [(i, f"{head} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(6)]
+    df = spark.createDataFrame([(90, head + " And so on."), (91, items_[3][1])], "doc_id long, text string")
+    it = spark.createDataFrame(items_, "item_id long, text string")
+    got = {(r["item_id"], r["id"]) for r in leaks(df, it, "doc_id", "text", "item_id", "text", Leakage(items_per_block=1)).collect()}
+    assert got == {(3, 91)}
+
+
 def test_run_and_errors():
     item = [f"a{i}" for i in range(40)]
     assert longest_run(item, item[5:35], 8)[:2] == (30, 0)
@@ -168,6 +179,16 @@ def test_mixture(spark):
     assert counted[9001] == counted[9002] == 0 and counted[9000] > 0
 
 
+def test_too_many_target_sources_are_an_error(spark, monkeypatch):
+    totals = spark.createDataFrame([("a", 100)], "source string, tokens long")
+    targets = spark.createDataFrame([(f"s{i}", 0.1, 1) for i in range(3)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    assert len(rates(totals, targets)) == 3
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="2 sources"):
+        rates(totals, targets)
+
+
 def test_rates_with_a_size(spark):
     totals = spark.createDataFrame([("a", 100), ("b", 1000)], "source string, tokens long")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
@@ -193,7 +214,7 @@ def test_subjects(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, code string")
     subjects = spark.createDataFrame([("pay", "wages"), ("law", "courts"), ("sport", "games")], "subject string, about string")
     told = spark.createDataFrame(labels + labels[:5], "id long, subject string")
-    c = Clustering(levels=3)
+    c = Clustering(levels=5, least_leaf=12)
     got = {(r["id"], r["subject"]) for r in document_subjects(df, "doc_id", "text", "code", subjects, told, c).collect()}
     assert (903, "pay") in got and not {g for g in got if g[0] in (900, 901)}
     got = {g for g in got if g[0] < 900}
