@@ -804,16 +804,17 @@ def u1_category_universe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {BLOCKS_SQL}, typed AS (SELECT *, {FAMILY} AS family FROM chunks), hits AS (SELECT * FROM ({PRESCAN_SQL}) WHERE indicator IS NOT NULL),
  blocks AS (SELECT id, 'Signs of translated code in this part:' || chr(10) || string_agg({PATTERN_LINE_SQL}, chr(10) ORDER BY {PATTERN_PLACE_SQL}) || chr(10) AS block FROM hits GROUP BY id),
- {SYMBOL_SQL}, lowered AS (SELECT chunk_id AS id, file_name AS name, lower(source_text) AS body FROM chunks), referred AS (SELECT DISTINCT t.id, s.name AS file, s.symbol FROM lowered t JOIN syms s ON s.name <> t.name AND contains(t.body, lower(s.symbol))),
- contexts AS (SELECT id, string_agg(file || ': ' || list, chr(10) ORDER BY file) AS context FROM (SELECT id, file, string_agg(symbol, ', ' ORDER BY symbol) AS list FROM referred GROUP BY ALL) GROUP BY id)
+ contexts AS (SELECT file_id, string_agg(label, ', ' ORDER BY chunk_seq, chunk_id) AS context FROM chunks GROUP BY 1)
  SELECT c.chunk_id AS id, concat_ws(chr(10) || chr(10), 'List the rules in this ' || {_case(EXT.format('file_name'), T.LANGUAGES, _q('Unknown'))} || ' code as JSON: {{"rules": [...]}}.', CASE WHEN label <> '' THEN 'Part: ' || label END, 'Structure:' || chr(10) || summary, block, 'Context:' || chr(10) || context, 'Code:' || chr(10) || source_text) AS prompt
- FROM chunks c JOIN summed s ON s.id = c.chunk_id LEFT JOIN blocks b ON b.id = c.chunk_id LEFT JOIN contexts x ON x.id = c.chunk_id""")
+ FROM chunks c JOIN summed s ON s.id = c.chunk_id LEFT JOIN blocks b ON b.id = c.chunk_id LEFT JOIN contexts x ON x.file_id = c.file_id""")
 def e1_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """The extraction prompt of every chunk, with profile, patterns and the symbols of other files as context."""
-    texts = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.col("file_name").alias("name"), "label", F.col("source_text").alias("text"))
+    """The extraction prompt of every chunk, with profile, patterns and the names of the file's parts as context."""
+    chunks = table(spark, folder, "chunks")
+    texts = chunks.select(F.col("chunk_id").alias("id"), "file_id", F.col("file_name").alias("name"), "label", F.col("source_text").alias("text"))
+    parts = chunks.groupBy("file_id").agg(export.in_order(["chunk_seq", "chunk_id"], F.col("label"), ", ").alias("context"))
     summary = profile.profile_text(profile.block_profile(texts.select("id", "text"))).select("id", "summary")
     flags = profile.prescan_text(_prescan(spark, folder))
-    joined = texts.join(summary, "id").join(flags, "id", "left").join(profile_p15_reference_text(spark, folder).withColumnRenamed("block", "context"), "id", "left")
+    joined = texts.join(summary, "id").join(flags, "id", "left").join(parts, "file_id", "left")
     return joined.select("id", export.extraction_prompt(T.language(F.col("name")), F.col("label"), F.col("summary"), F.col("block"), F.col("context"), F.col("text")).alias("prompt"))
 
 
