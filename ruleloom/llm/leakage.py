@@ -41,7 +41,7 @@ class Leakage:
     their ids, that the SVD is fitted on beside all items; the search covers every passage of every document."""
 
     dim: int = 64
-    latent_cosine: float = 0.2
+    latent_cosine: float = 0.16
     term_cosine: float = 0.35
     least_run: int = 25
     error_every: int = 8
@@ -92,7 +92,7 @@ def blocks(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def passages(flat: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sum of the table's rows over each passage; passage i starts with block i."""
-    own = np.add.reduceat(table[flat], np.arange(0, len(flat), BLOCK), axis=0)
+    own = table[flat].reshape(-1, BLOCK, *table.shape[1:]).sum(axis=1)
     own = np.concatenate([own, np.zeros((PASSAGE - 1, *own.shape[1:]), dtype=own.dtype)])
     return own[:-2] + own[1:-1] + own[2:]
 
