@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.functions.kernels import PackedTexts, lcs_length
+from ruleloom.functions.kernels import PackedTexts, TextIndex, lcs_length
 from ruleloom.functions.text import content_words, duplicate_form, matching_form
 from ruleloom.plans.lineage import release, settle
 
@@ -157,45 +159,97 @@ def candidates(rules: DataFrame, entries: DataFrame, threshold: float = MATCH_FR
     return ratio_join(left.join(right, "scope"), "a", "b", threshold, bonus, as_float=True).where("similarity > 0").select("rule_id", "gt_id", "similarity")
 
 
-#: Entries packed at once; scores (4 bytes each) that a wave of rules may send to the driver; rules in a wave at most.
-PACK, WAVE_SCORES, WAVE_RULES = 2048, 8_000_000, 1_000_000
+#: Entries packed at once; up to so many of a pack are compared with a rule pair by pair; rules compared at once.
+PACK, FEW, BATCH = 4096, 3000, 128
+#: Hits (8 bytes each) that a wave of rules may send to the driver; rules in a wave at most.
+WAVE_SCORES, WAVE_RULES = 8_000_000, 1_000_000
 
 
 class Packs:
-    """Entries (id, kind, form) in packs of about the same length, to be compared with one rule after the other."""
+    """Entries (id, kind, form) in packs of about the same length, to be compared with rules."""
 
     def __init__(self, entries: list[tuple[int, str, str]]) -> None:
         self.size = len(entries)
-        order = sorted(range(len(entries)), key=lambda i: -len(entries[i][2]))
-        self.packs: list[tuple[np.ndarray, np.ndarray, PackedTexts]] = []
+        self.order = np.array(sorted(range(self.size), key=lambda i: -len(entries[i][2])), dtype=np.int64)
+        forms = [entries[i][2] for i in self.order]
+        self.kind_no = {k: n for n, k in enumerate(sorted({e[1] for e in entries}))}
+        self.kinds = np.array([self.kind_no[entries[i][1]] for i in self.order], dtype=np.int64)
+        self.index = TextIndex(forms)
+        words = [-(-len(f) // 63) for f in forms]
+        self.packs: list[tuple[int, int, PackedTexts]] = []
         at = 0
-        while at < len(order):
-            words = -(-len(entries[order[at]][2]) // 63)
-            end = next((i for i in range(at, len(order)) if i == at + PACK or -(-len(entries[order[i]][2]) // 63) < words), len(order))
-            own = order[at:end]
-            self.packs.append((np.array(own), np.array([entries[i][1] for i in own], dtype=object), PackedTexts([entries[i][2] for i in own])))
+        while at < self.size:
+            end = next((i for i in range(at, self.size) if i == at + PACK or words[i] < words[at]), self.size)
+            self.packs.append((at, end, PackedTexts(forms[at:end])))
             at = end
 
-    def scores(self, kind: str | None, form: str, least: float | np.ndarray = 0.0, running: bool = False) -> np.ndarray:
-        """Similarity (single precision) of a rule and each entry; 0 where a pack's lengths forbid ``least`` (one, or one an entry).
+    def _bonus(self, kind: str | None) -> np.ndarray:
+        """Where the bonus is added."""
+        return self.kinds == (-1 if kind is None else self.kind_no.get(kind, -1))
 
-        The bonus is added where ``kind`` is the entry's, never for None. With ``running``, packs that can't exceed
-        the best so far are left out.
+    def hits(self, rows: list[tuple[str | None, str]], least: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the row, entries, similarities in single precision) of the pairs that reach ``least``, one for
+        each row or, as a row of its own, for each entry.
+
+        The characters in common bound the similarity of a pair, so pairs below ``least`` are spared the subsequence;
+        with ``most``, only so many entries of the highest bound are compared with each row. The bonus is added where
+        a row's kind is the entry's, never for None.
         """
-        out = np.zeros(self.size, dtype=np.float32)
-        best = 0.0
-        for own, kinds, texts in self.packs:
-            total = texts.lengths + len(form)
-            bound = 2 * np.minimum(texts.lengths, len(form)) / np.maximum(total, 1) + (0.0 if kind is None else CATEGORY_BONUS) + 1e-6
-            floor = least[own] if isinstance(least, np.ndarray) else max(least, best if running else 0.0)
-            if not (bound >= floor).any():
-                continue
-            raw = np.float32(2) * texts.lcs(form).astype(np.float32) / np.maximum(total, 1).astype(np.float32)
-            if kind is not None:
-                raw = np.where(kinds == kind, raw + np.float32(CATEGORY_BONUS), raw)
-            out[own] = np.where(total == 0, np.float32(0), np.minimum(raw, np.float32(1)))
-            best = max(best, float(out[own].max()))
-        return out
+        coded = [self.index.code(form) for _, form in rows]
+        least = np.broadcast_to(least, (len(rows), self.size))
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, (kind, form) in enumerate(rows):
+            total, least_i = self.index.lengths + len(form), least[i]
+            if least.strides[1]:
+                least_i = least_i[self.order]
+            bonus = np.where(self._bonus(kind), CATEGORY_BONUS, 0.0)
+            need = (least_i - bonus - 1e-6) * total / 2
+            shared = self.index.shared(coded[i])
+            possible = shared >= need
+            if most is not None and most < self.size:
+                bound = 2 * shared / np.maximum(total, 1) + bonus
+                possible &= np.isin(np.arange(self.size), np.argpartition(-bound, most)[:most])
+            for at, end, texts in self.packs:
+                own = np.flatnonzero(possible[at:end])
+                if len(own) > FEW:
+                    common = texts.lcs(form)[own] if 2 * len(own) > end - at else texts.lcs(form, own)
+                    yield self._reached(i, kind, form, at + own, common, least_i)
+                elif len(own):
+                    pairs.append((np.full(len(own), i), at + own, need[at + own]))
+        if pairs:
+            row, own, need = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            common = self.index.lcs(coded, row, own, need)
+            ends = np.flatnonzero(np.r_[row[1:] != row[:-1], True]) + 1
+            for at, end in zip([0, *ends[:-1]], ends, strict=True):
+                i, some = int(row[at]), np.flatnonzero(common[at:end] >= 0) + at
+                least_i = least[i][self.order] if least.strides[1] else least[i]
+                yield self._reached(i, *rows[i], own[some], common[some], least_i)
+
+    def _reached(self, i: int, kind: str | None, form: str, own: np.ndarray, common: np.ndarray, least: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        total = self.index.lengths[own] + len(form)
+        raw = np.float32(2) * common.astype(np.float32) / np.maximum(total, 1).astype(np.float32)
+        raw = np.where(self._bonus(kind)[own], raw + np.float32(CATEGORY_BONUS), raw)
+        score = np.where(total == 0, np.float32(0), np.minimum(raw, np.float32(1)))
+        keep = score >= least[own]
+        return i, self.order[own[keep]], score[keep]
+
+
+#: A worker's packs by token, those of the last broadcast only.
+_MADE: dict[str, Packs] = {}
+
+
+def _packs(held: Broadcast, token: str) -> Packs:
+    """The packs of broadcast entries, made once by each worker."""
+    if token not in _MADE:
+        _MADE.clear()
+        _MADE[token] = Packs(held.value)
+    return _MADE[token]
+
+
+def _batches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.iloc[at : at + size]
 
 
 def _sides(rules: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,8 +268,10 @@ def match_all(rules: DataFrame, entries: DataFrame, threshold: float = MATCH_FRO
 
     Rules (rule_id, label, text, type), entries (gt_id, category, text); of equally similar entries the first is
     taken, similarity 0 never. Rules are scored in waves, in parallel, against the entries free before the wave, and
-    take them in order on the driver, which holds the entries and ``WAVE_SCORES`` scores. No pair is left out: once
-    no entry is free, no later rule can match.
+    take them in order on the driver, which holds the entries and at most ``WAVE_SCORES`` hits. A rule sends its best
+    hits; should others have taken all of them and it has more, the next wave begins with it. A wave is as large as
+    may take a fifth of the free entries, and grows when far fewer are taken. No pair is left out: once no entry is
+    free, no later rule can match.
     """
     spark = rules.sparkSession
     left, right = _sides(rules, entries)
@@ -223,48 +279,65 @@ def match_all(rules: DataFrame, entries: DataFrame, threshold: float = MATCH_FRO
     free = sorted((r["id"], r["kind"], r["form"]) for r in right.collect())
     least = float(np.float32(threshold))
     found: list[tuple[int, int, float]] = []
-    rest = left
+    rest, growth = left, 1
     while free:
-        wave = max(1, min(WAVE_RULES, WAVE_SCORES // len(free)))
+        wave = max(1, min(WAVE_RULES, WAVE_SCORES // 16, growth * max(32, len(free) // 5)))
+        most = max(1, WAVE_SCORES // wave)
         upto = rest.select("id").orderBy("id").limit(wave).agg(F.max("id")).first()[0]
         if upto is None:
             break
-        held = spark.sparkContext.broadcast(free)
-
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            packs = Packs(held.value)
-            for batch in batches:
+        held, token = spark.sparkContext.broadcast(free), uuid.uuid4().hex
+
+        def score(batches: Iterator[pd.DataFrame], held=held, token=token, most=most) -> Iterator[pd.DataFrame]:
+            packs = _packs(held, token)
+            for batch in _batches(batches, BATCH):
+                own: dict[int, list] = {}
+                for i, entry, s in packs.hits(list(zip(batch["kind"], batch["form"], strict=True)), np.float32([[least]])):
+                    if len(entry):
+                        own.setdefault(i, []).append((entry, s))
                 rows = []
-                for i, kind, form in zip(batch["id"], batch["kind"], batch["form"], strict=True):
-                    s = packs.scores(kind, form, least)
-                    if s.max() >= least:
-                        rows.append((i, s.tobytes()))
-                yield pd.DataFrame(rows, columns=["id", "scores"])
+                for i, parts in own.items():
+                    entry, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    best = np.lexsort((entry, -s))[:most]
+                    rows.append((batch["id"].iloc[i], entry[best].astype(np.int32).tobytes(), s[best].tobytes(), len(s) > most))
+                yield pd.DataFrame(rows, columns=["id", "entries", "scores", "more"])
 
-        scored = _spread(rest.where(F.col("id") <= upto)).mapInPandas(score, "id long, scores binary").toPandas().sort_values("id")
+        scored = _spread(rest.where(F.col("id") <= upto)).mapInPandas(score, "id long, entries binary, scores binary, more boolean").toPandas().sort_values("id", kind="stable")
         taken = np.zeros(len(free), dtype=bool)
-        for i, raw in zip(scored["id"], scored["scores"], strict=True):
-            s = np.where(taken, np.float32(0), np.frombuffer(raw, dtype=np.float32))
-            j = int(s.argmax())
-            if s[j] >= least and s[j] > 0:
-                taken[j] = True
-                found.append((int(i), free[j][0], float(s[j])))
+        for i, own, raw, more in zip(scored["id"], scored["entries"], scored["scores"], scored["more"], strict=True):
+            entry, s = np.frombuffer(own, dtype=np.int32), np.frombuffer(raw, dtype=np.float32)
+            at = np.flatnonzero(~taken[entry])
+            if len(at) and s[at[0]] > 0:
+                taken[entry[at[0]]] = True
+                found.append((int(i), free[entry[at[0]]][0], float(s[at[0]])))
+            elif more and not len(at):
+                upto = int(i) - 1
+                break
         held.destroy()
+        growth = growth * 2 if 16 * taken.sum() < len(free) else max(1, growth // 2)
         free = [e for e, t in zip(free, taken, strict=True) if not t]
         rest = left.where(F.col("id") > upto)
     return spark.createDataFrame(found, "rule_id long, gt_id long, similarity float")
 
 
+#: Entries of the highest bound from which the search for a rule's best begins.
+FIRST = 32
+
+
 def best_of_rules(rules: DataFrame, entries: DataFrame) -> DataFrame:
     """rule_id, best: each rule's highest similarity to any of the entries, without a threshold; no rows without entries."""
     left, right = _sides(rules, entries)
-    held = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()])
+    held, token = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()]), uuid.uuid4().hex
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packs = Packs(held.value)
-        for batch in batches:
+        packs = _packs(held, token)
+        for batch in _batches(batches, BATCH):
             if packs.size:
-                yield pd.DataFrame({"rule_id": batch["id"], "best": [packs.scores(k, f, running=True).max() for k, f in zip(batch["kind"], batch["form"], strict=True)]})
+                top, rows = np.zeros(len(batch), dtype=np.float32), list(zip(batch["kind"], batch["form"], strict=True))
+                for most in (FIRST, None):
+                    for i, _, s in packs.hits(rows, top.copy()[:, None], most):
+                        top[i] = max(top[i], s.max(initial=0))
+                yield pd.DataFrame({"rule_id": batch["id"].to_numpy(), "best": top})
 
     return _spread(left).mapInPandas(best, "rule_id long, best float")
 
@@ -272,15 +345,17 @@ def best_of_rules(rules: DataFrame, entries: DataFrame) -> DataFrame:
 def best_of_entries(rules: DataFrame, entries: DataFrame) -> DataFrame:
     """gt_id, best: each entry's highest similarity to any of the rules, without threshold and bonus; no rows without rules."""
     left, right = _sides(rules, entries)
-    held = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()])
+    held, token = rules.sparkSession.sparkContext.broadcast([(r["id"], r["kind"], r["form"]) for r in right.collect()]), uuid.uuid4().hex
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packs = Packs(held.value)
+        packs = _packs(held, token)
         top, seen = np.zeros(packs.size, dtype=np.float32), False
-        for batch in batches:
-            for form in batch["form"]:
-                seen = True
-                np.maximum(top, packs.scores(None, form, top), out=top)
+        for batch in _batches(batches, BATCH):
+            # a few first, so that the others have a bound
+            for part in (batch.iloc[:4], batch.iloc[4:]):
+                seen |= len(part) > 0
+                for _, own, s in packs.hits([(None, form) for form in part["form"]], top.copy()[None, :]):
+                    top[own] = np.maximum(top[own], s)
         if seen and packs.size:
             yield pd.DataFrame({"gt_id": [e[0] for e in held.value], "best": top})
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from ruleloom.functions.kernels import PackedTexts, lcs_length
+from ruleloom.functions.kernels import PackedTexts, TextIndex, lcs_length
 from ruleloom.operators import similarity
 from ruleloom.queries import QUERIES
 
@@ -101,3 +101,42 @@ def test_diagnoses_tell_the_best_similarity_below_the_threshold(spark, folder):
             assert reasons["extra", r[0]] == ("no similar entry" if best < 0.15 else f"best similarity {best:.2f}, below the threshold of 0.40")
     low = sum(s == "extra" and "low" in reason for (s, _), reason in reasons.items())
     assert any(r["advice"].startswith(f"{low} low-confidence") for r in QUERIES["g12_guidance"](spark, at).collect())
+
+
+def test_text_index_equals_lcs_or_is_surely_below():
+    rng = random.Random(9)
+    own = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (0, 1, 7, 8, 9, 64, 120)]
+    others = ["".join(rng.choice("abcdefgé ") for _ in range(n)) for n in (0, 1, 63, 64, 200)]
+    index = TextIndex(own)
+    coded = [index.code(t) for t in others]
+    at, to = (x.ravel() for x in np.meshgrid(np.arange(len(others)), np.arange(len(own))))
+    want = np.array([lcs_length(others[i], own[j]) for i, j in zip(at, to, strict=True)])
+    assert list(index.lcs(coded, at, to, np.zeros(len(at)))) == list(want)
+    need = index.lengths[to] * 0.6
+    got = index.lcs(coded, at, to, need)
+    assert all(g == w or g == -1 and w < n for g, w, n in zip(got, want, need, strict=True)) and (got < 0).any()
+    assert all((index.shared(c) >= want[at == i]).all() for i, c in enumerate(coded))
+
+
+@pytest.mark.parametrize("few", [0, 3000])
+def test_pairs_out_of_reach_are_never_compared(monkeypatch, few):
+    monkeypatch.setattr(similarity, "FEW", few)
+    rng, compared = random.Random(10), []
+    entries = [(i, rng.choice("ab"), sentence(rng, 0, 25)) for i in range(60)]
+    rows = [(rng.choice(["a", None]), sentence(rng, 5, 30)) for _ in range(20)]
+    packs = similarity.Packs(entries)
+    real, packed = TextIndex.lcs, PackedTexts.lcs
+    monkeypatch.setattr(TextIndex, "lcs", lambda self, o, i, j, need: compared.append(len(j)) or real(self, o, i, j, need))
+    monkeypatch.setattr(PackedTexts, "lcs", lambda self, t, own=None: compared.append(len(self.lengths) if own is None else len(own)) or packed(self, t, own))
+    got = {(i, int(j)): s for i, own, score in packs.hits(rows, np.float32([[0.7]])) for j, s in zip(own, score, strict=True)}
+    want = {(i, j): single(lcs_length(f, e[2]), len(f) + len(e[2]), k == e[1]) for i, (k, f) in enumerate(rows) for j, e in enumerate(entries)}
+    assert got == {k: s for k, s in want.items() if s >= np.float32(0.7)} and got
+    assert sum(compared) < (0.9 if few else 1.01) * len(want)
+
+
+def test_a_wave_ends_where_the_hits_sent_are_all_taken(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "WAVE_SCORES", 32)
+    rules = spark.createDataFrame([(i, "a", "rate of pay", "x") for i in range(40)], "rule_id long, label string, text string, type string")
+    entries = spark.createDataFrame([(i, "y", "a rate of pay") for i in range(40)], "gt_id long, category string, text string")
+    got = sorted((r["rule_id"], r["gt_id"]) for r in similarity.match_all(rules, entries).collect())
+    assert got == [(i, i) for i in range(40)]
