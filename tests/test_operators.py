@@ -75,6 +75,43 @@ def test_profile(spark):
     assert {tuple(r) for r in refs.collect()} == {(2, "a.vb", "Foo"), (2, "a.vb", "Ab")}
 
 
+def reference_case():
+    rng = random.Random(6)
+    names = ["run", "file-control", "pay-tax", "ab", "taxes", "é-rate"]
+    table = [(f"f{k}", s.upper() if rng.random() < 0.3 else s) for k in range(12) for s in names if s == "run" or rng.random() < 0.5]
+    texts = [(i, rng.choice([f"f{i % 14}", None]) if i % 9 == 0 else f"f{i % 14}", " ".join(rng.choice([*names, "CABLE", "Pay-Taxes", "x"]) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(90, "f1", None)]
+    want = {(i, f, s) for i, n, t in texts for f, s in table if n is not None and f != n and t and s.lower() in t.lower()}
+    return table, texts, want
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_references_list_each_symbol_of_other_files_once(spark, most):
+    table, texts, want = reference_case()
+    df = spark.createDataFrame(texts, "id long, name string, text string")
+    syms = spark.createDataFrame([*table, *table[:3]], "name string, symbol string")
+    got = [tuple(r) for r in profile.references(df, syms, most).collect()]
+    assert set(got) == want and len(got) == len(want)
+    blocks = {r["id"]: r["block"] for r in profile.reference_blocks(df, syms, most).collect()}
+    lines = {i: {} for i, _, _ in want}
+    for i, f, s in want:
+        lines[i].setdefault(f, []).append(s)
+    assert blocks == {i: "\n".join(f"{f}: {', '.join(sorted(own[f]))}" for f in sorted(own)) for i, own in lines.items()}
+
+
+@pytest.mark.parametrize("common", [0, 4, 100])
+def test_lines_laid_out_once_equal_those_made_anew(monkeypatch, common):
+    monkeypatch.setattr(profile.ReferenceLines, "COMMON", common)
+    table, texts, want = reference_case()
+    made = profile.ReferenceLines([(f, s, s.lower()) for f, s in table])
+    for i, n, t in texts:
+        own = {}
+        for _, f, s in (w for w in want if w[0] == i):
+            own.setdefault(f, []).append(s)
+        held = sorted({s.lower() for _, s in table if t and s.lower() in t.lower()})
+        block = "\n".join(f"{f}: {', '.join(sorted(own[f]))}" for f in sorted(own))
+        assert made.block(n, held) == (block or None)
+
+
 def test_greedy_dedup_equals_the_loop(spark):
     rng = random.Random(3)
     words = "rate pay tax limit total hour bonus shift".split()
