@@ -1,7 +1,7 @@
 """Subject areas of documents: bisecting k-means leaves, their discriminative terms and mixtures.
 
 Documents are read once into hashed terms by unit: a sentence of prose, a paragraph or routine of code. Bisecting
-k-means grows a tree over the normalised vectors of a bounded sample, and every document goes to a leaf. Hand labels
+k-means grows a tree over the normalised vectors of all documents, and every document goes to a leaf. Hand labels
 name the leaves: a leaf's mixture of subjects is that of its labelled documents. The leaves label the terms that are
 more frequent in them than elsewhere, a term's subjects being the mixtures of the leaves that hold it, with the
 subjects' descriptions beside. A unit is assigned by its terms and by the mixture of its document's leaf, the terms
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.plans.lineage import settle
+from ruleloom.plans.lineage import release, settle
 
 #: Rows of the hashed term table; bounds every model that is shipped or collected.
 TERM_BITS = 17
@@ -37,7 +37,8 @@ _SQL = re.compile(r"\n(?=[ \t]*CREATE\s+(?:OR\s+\w+\s+)?(?:PROC|FUNC))", re.IGNO
 @dataclass(frozen=True)
 class Clustering:
     """``levels`` of bisection give at most 2^levels leaves; a leaf below ``least_leaf`` documents is not split.
-    ``sample`` bounds the documents from which the tree is grown; every document is assigned to a leaf. ``leaf_weight`` is
+    The tree is grown from all documents; the part below a node of up to ``task`` documents grows in one task, larger nodes are
+    split in passes over all tasks, of which there are ``most_tasks`` at most. ``leaf_weight`` is
     that of a leaf's mixture in the decision on a unit. ``noise`` and ``least_score`` are shares of the lift that a
     term of one subject alone would have, the log of the number of subjects."""
 
@@ -46,7 +47,8 @@ class Clustering:
     iterations: int = 8
     least_leaf: int = 20
     rounds: int = 3
-    sample: int = 20_000
+    task: int = 20_000
+    most_tasks: int = 64
     leaf_weight: float = 0.3
     prior: float = 2.0
     noise: float = 0.32
@@ -193,9 +195,9 @@ def projection(idf: np.ndarray, c: Clustering) -> np.ndarray:
     return np.random.default_rng(3).standard_normal((1 << TERM_BITS, c.dim), dtype=np.float32) * idf[:, None].astype(np.float32)
 
 
-def descend(own: np.ndarray, tree: dict[int, np.ndarray]) -> np.ndarray:
-    """Leaf of each vector: node k has the children 2k and 2k + 1; the root is 1."""
-    node = np.ones(len(own), dtype=np.int64)
+def descend(own: np.ndarray, tree: dict[int, np.ndarray], root: int = 1) -> np.ndarray:
+    """Leaf of each vector: node k has the children 2k and 2k + 1; the root of the whole tree is 1."""
+    node = np.full(len(own), root, dtype=np.int64)
     while True:
         moved = False
         for k in np.unique(node):
@@ -208,45 +210,108 @@ def descend(own: np.ndarray, tree: dict[int, np.ndarray]) -> np.ndarray:
             return node
 
 
-def bisect(own: np.ndarray, c: Clustering) -> dict[int, np.ndarray]:
-    """The tree of centres of the vectors, grown a level at a time by two-means within every leaf that is large enough."""
+def start(mean: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Two centres a little beside the mean."""
+    push = rng.normal(size=len(mean))
+    push *= 0.1 / np.linalg.norm(push)
+    return [mean + push, mean - push]
+
+
+def rightward(part: np.ndarray, two: list[np.ndarray]) -> np.ndarray:
+    """Which vectors are nearer to the second centre."""
+    return part @ (two[1] - two[0]) > (two[1] @ two[1] - two[0] @ two[0]) / 2
+
+
+def bisect(own: np.ndarray, c: Clustering, root: int = 1) -> dict[int, np.ndarray]:
+    """The tree of centres below ``root``, whose vectors are ``own``, grown a level at a time by two-means within every leaf
+    that is large enough."""
     tree: dict[int, np.ndarray] = {}
-    rng = np.random.default_rng(9)
-    for _ in range(c.levels):
-        node = descend(own, tree)
+    rng = np.random.default_rng(8 + root)
+    for _ in range(c.levels + 1 - root.bit_length()):
+        node = descend(own, tree, root)
         grown = [int(k) for k, n in zip(*np.unique(node, return_counts=True), strict=True) if n >= 2 * c.least_leaf]
         if not grown:
             break
         for k in grown:
             part = own[node == k]
-            push = rng.normal(size=own.shape[1])
-            push *= 0.1 / np.linalg.norm(push)
-            two = [part.mean(axis=0) + push, part.mean(axis=0) - push]
+            two = start(part.mean(axis=0), rng)
             for _ in range(c.iterations):
-                right = part @ (two[1] - two[0]) > (two[1] @ two[1] - two[0] @ two[0]) / 2
+                right = rightward(part, two)
                 two = [part[~right].mean(axis=0) if (~right).any() else two[0], part[right].mean(axis=0) if right.any() else two[1]]
             tree[2 * k], tree[2 * k + 1] = two
     return tree
 
 
-def grow(docs: DataFrame, n_docs: int, idf: np.ndarray, c: Clustering) -> dict[int, np.ndarray]:
-    """The tree of centres of a sample: about ``sample`` documents, by the hash of their ids, in one task of that size."""
-    spread = 1 << 30
-    chosen = F.pmod(F.xxhash64("id"), F.lit(spread)) < max(1, int(spread * min(1.0, c.sample / max(1, n_docs))))
+def sums(vecs: DataFrame, tree: dict[int, np.ndarray], split: dict[int, list[np.ndarray]], c: Clustering) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and sum of the vectors of each leaf, or of each side of a leaf that ``split`` has two centres of (2k and 2k + 1).
+
+    A task sends one row a leaf, so the driver gets a table of fixed size from each of its few tasks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = projection(idf, c)
+        held: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "vec": [v.tobytes() for v in doc_vectors(batch["terms"], table)]})
+            if not len(batch):
+                continue
+            own = np.frombuffer(b"".join(batch["vec"]), dtype=np.float32).reshape(len(batch), -1)
+            node = descend(own, tree)
+            for k in map(int, np.unique(node)):
+                part = own[node == k]
+                if k in split:
+                    right = rightward(part, split[k])
+                    parts = [(2 * k, ~right), (2 * k + 1, right)]
+                elif split:
+                    continue
+                else:
+                    parts = [(k, np.ones(len(part), dtype=bool))]
+                for at, own_side in parts:
+                    n, total = held.get(at, (0, 0.0))
+                    held[at] = n + int(own_side.sum()), total + (own_side.astype(np.float32) @ part).astype(np.float64)
+        yield pd.DataFrame([(k, n, total.tobytes()) for k, (n, total) in held.items()], columns=["node", "n", "total"])
+
+    out: dict[int, tuple[int, np.ndarray]] = {}
+    tasks = min(c.most_tasks, vecs.sparkSession.sparkContext.defaultParallelism)
+    for r in vecs.select("vec").coalesce(tasks).mapInPandas(run, "node long, n long, total binary").collect():
+        n, total = out.get(r["node"], (0, 0.0))
+        out[r["node"]] = n + r["n"], total + np.frombuffer(r["total"], dtype=np.float64)
+    return out
+
+
+def grow(vecs: DataFrame, n_docs: int, c: Clustering) -> dict[int, np.ndarray]:
+    """The tree of centres of all documents, from settled (id, vec).
+
+    Nodes of more than ``task`` documents are split level by level, each iteration of two-means a pass over all vectors;
+    what is below the smaller ones grows in a task each. Both do the same, up to the last digits of sums.
+    """
+    tree: dict[int, np.ndarray] = {}
+    held = {1: n_docs}
+    while any(n > c.task and k.bit_length() <= c.levels for k, n in held.items()):
+        leaves = sums(vecs, tree, {}, c)
+        held = {k: n for k, (n, _) in leaves.items()}
+        large = [k for k, n in held.items() if n > c.task and n >= 2 * c.least_leaf and k.bit_length() <= c.levels]
+        if not large:
+            break
+        split = {k: start(leaves[k][1] / held[k], np.random.default_rng(8 + k)) for k in large}
+        for _ in range(c.iterations):
+            found = sums(vecs, tree, split, c)
+            split = {k: [found[at][1] / found[at][0] if found.get(at, (0,))[0] else old for at, old in zip((2 * k, 2 * k + 1), two, strict=True)] for k, two in split.items()}
+        for k, two in split.items():
+            tree[2 * k], tree[2 * k + 1] = two
+
+    small = [k for k, n in held.items() if 2 * c.least_leaf <= n <= c.task and k.bit_length() <= c.levels]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            node = descend(np.frombuffer(b"".join(batch["vec"]), dtype=np.float32).reshape(-1, c.dim), tree)
+            yield batch.assign(node=node)[np.isin(node, small)]
 
     def fit_tree(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
-        tree = bisect(np.frombuffer(b"".join(frame["vec"]), dtype=np.float32).reshape(-1, c.dim), c)
-        return pd.DataFrame([(k, np.asarray(v, dtype=np.float64).tobytes()) for k, v in tree.items()], columns=["node", "centre"])
+        below = bisect(np.frombuffer(b"".join(frame["vec"]), dtype=np.float32).reshape(-1, c.dim), c, int(frame["node"].iloc[0]))
+        return pd.DataFrame([(k, np.asarray(v, dtype=np.float64).tobytes()) for k, v in below.items()], columns=["node", "centre"])
 
-    vecs = docs.where(chosen).select("id", "terms").mapInPandas(run, "id long, vec binary")
-    rows = vecs.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(fit_tree, "node long, centre binary").collect()
-    return {r["node"]: np.frombuffer(r["centre"], dtype=np.float64) for r in rows}
+    rows = vecs.select("id", "vec").mapInPandas(place, "id long, vec binary, node long").groupBy("node").applyInPandas(fit_tree, "node long, centre binary").collect()
+    return tree | {r["node"]: np.frombuffer(r["centre"], dtype=np.float64) for r in rows}
 
 
 def lifts(counts: np.ndarray, silent: np.ndarray, c: Clustering) -> np.ndarray:
@@ -340,14 +405,23 @@ def fit(docs: DataFrame, subjects: list[tuple[str, str]], labels: DataFrame, c:
     idf[0] = 0
     # what half of the documents or a single one holds draws none together
     idf[(df > 0.5 * n) | (df < 2)] = 0
-    tree = grow(docs, n, idf, c)
 
-    def leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = projection(idf, c)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "leaf": descend(doc_vectors(batch["terms"], table), tree), "terms": batch["terms"]})
+            yield pd.DataFrame({"id": batch["id"], "terms": batch["terms"], "vec": [v.tobytes() for v in doc_vectors(batch["terms"], table)]})
+
+    vecs = settle(docs.mapInPandas(project, "id long, terms binary, vec binary"), "vectors")
+    release(docs)
+    tree = grow(vecs, n, c)
+
+    def leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch["vec"]), dtype=np.float32).reshape(-1, c.dim)
+            yield pd.DataFrame({"id": batch["id"], "leaf": descend(own, tree), "terms": batch["terms"]})
 
-    docs = settle(docs.mapInPandas(leaf, "id long, leaf long, terms binary"), "leaves")
+    docs = settle(vecs.mapInPandas(leaf, "id long, leaf long, terms binary"), "leaves")
+    release(vecs)
     told = labels.where(F.col("subject").isin(names)).select("id", "subject").distinct()
     by_leaf = docs.select("id", "leaf").join(told, "id").groupBy("leaf", "subject").agg(F.count("*").alias("n")).collect()
     base = np.full(n_sub, 1.0 / max(1, n_sub))

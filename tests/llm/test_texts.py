@@ -10,7 +10,7 @@ from ruleloom.llm.leakage import Leakage, lcs_pairs, leaks, longest_run, words
 from ruleloom.llm.mixing import count_tokens, mixture, rates
 from ruleloom.llm.packing import balanced, items, pack
 from ruleloom.llm.splitting import family, headers, pieces, split
-from ruleloom.llm.subjects import Clustering, document_subjects
+from ruleloom.llm.subjects import Clustering, document_subjects, fit, read as read_terms
 
 COBOL = """000100 PROCEDURE DIVISION.
 000200 MAIN SECTION.
@@ -223,3 +223,22 @@ def test_subjects(spark):
     assert document_subjects(df, "doc_id", "text", "code", subjects.limit(0), told, c).count() == 0
     document_subjects(df, "doc_id", "text", "code", subjects, told.limit(0), c).count()
     assert np.isfinite([r["share"] for r in document_subjects(df, "doc_id", "text", "code", subjects, told, c).collect()]).all()
+
+
+def test_the_tree_grows_from_all_documents(spark):
+    """Split in passes over all tasks the tree has the same first centres as grown in one task, and goes on below them."""
+    rng = random.Random(12)
+    topics = [[f"{a}{b}word" for b in "bcdfghjk"] for a in ("ka", "lo", "mi", "nu", "pe", "ri")]
+    docs = [(d, " ".join(rng.choices(topics[d % 6], k=12) + rng.choices(topics[d % 2], k=3)), None) for d in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, code string").repartition(5)
+    subjects, labels = [("a", "kabword"), ("b", "lobword")], spark.createDataFrame([(0, "a"), (1, "b")], "id long, subject string")
+    trees, leaves = [], []
+    for task in (10_000, 150):
+        model, placed = fit(read_terms(df, "doc_id", "text", "code"), subjects, labels, Clustering(levels=4, least_leaf=20, task=task))
+        trees.append(model.tree)
+        leaves.append({r["id"]: r["leaf"] for r in placed.select("id", "leaf").collect()})
+    whole, passes = trees
+    assert all(np.allclose(whole[k], passes[k], atol=1e-5) for k in (2, 3))
+    n = [{k: sum(1 for leaf in own.values() if bin(leaf).startswith(bin(k))) for k in tree} for own, tree in zip(leaves, trees, strict=True)]
+    assert all(c < 40 or 2 * k in passes or k.bit_length() > 4 for k, c in n[1].items())
+    assert set(leaves[1]) == set(range(600)) and abs(len(whole) - len(passes)) <= 8
