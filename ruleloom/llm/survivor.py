@@ -8,11 +8,10 @@ the newest row any number of older ones; a longer half-life lets repeated values
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.truncation import PLACEHOLDERS
-from ruleloom.plans.lineage import settle
 
 #: Spellings of the confidence levels, best first; the digits are the levels' ordinals.
 LEVELS = (("high", "h", "hi", "0"), ("medium", "med", "m", "mid", "1"), ("low", "l", "lo", "2"))
@@ -45,12 +44,13 @@ def votes(long: DataFrame, half_life: float = 1.0, trust_step: float = 50.0) ->
 
     ``level`` 0 is trusted most; rows with a null level do not vote, and a group without voters has no winner.
     ``at`` is a number (ticks); null counts as oldest. Equal votes go to the newer row, then to the larger id.
-    A group is aggregated before and after the shuffle, never collected.
+    One shuffle serves the newest row, the ballots and the winners: a group's rows of a field are sorted in a task,
+    on disk if they are many, and never collected.
     """
-    rows = long.where("level is not null").withColumn("at", F.coalesce("at", F.lit(-(1 << 62))))
-    newest = rows.groupBy("group_id", "field", "level").agg(F.max("at").alias("newest"))
+    rows = long.where("level is not null").withColumn("at", F.coalesce("at", F.lit(-(1 << 62)))).repartition("group_id", "field")
+    newest = F.max("at").over(Window.partitionBy("group_id", "field", "level"))
     weight = F.pow(F.lit(2.0), -(F.col("newest") - F.col("at")).cast("double") / half_life - trust_step * F.col("level"))
-    ballots = rows.join(newest, ["group_id", "field", "level"]).groupBy("group_id", "field", "value").agg(
+    ballots = rows.withColumn("newest", newest).groupBy("group_id", "field", "value").agg(
         F.sum(weight).alias("votes"), F.max(F.struct((-F.col("level")).alias("level"), "at", "id")).alias("best")
     )
     return ballots.groupBy("group_id", "field").agg(F.max_by("best", F.struct("votes", "best")).alias("w"), F.max("votes").alias("votes")).select("group_id", "field", F.col("w.id").alias("id"), "votes")
@@ -62,17 +62,21 @@ def shared(groups: DataFrame) -> DataFrame:
     return groups.join(several, "group_id").select("id", "group_id")
 
 
-def survivors(df: DataFrame, members: DataFrame, id_col: str, time_col: str, levels: dict[str, Column], half_life: float = 1.0) -> DataFrame:
+def survivors(df: DataFrame, members: DataFrame, id_col: str, time_col: str, levels: dict[str, Column | None], half_life: float = 1.0, told: DataFrame | None = None) -> DataFrame:
     """Winning rows (``group_id``, ``field``, ``id``, ``votes``) for each field of ``levels`` (field to trust level).
 
     ``members`` has ``id`` and ``group_id``; see ``shared``. Values are compared without case and extra white space.
-    Null levels stand for missing values.
+    Null levels stand for missing values. A field whose entry is None has its levels in the column of its name of
+    ``told``, which has one row an id at most. Texts are hashed before any join.
     """
-    parts = [F.struct(F.lit(f).alias("field"), level.cast("int").alias("level"), F.xxhash64(F.lower(F.trim(F.regexp_replace(F.col(f).cast("string"), r"\s+", " ")))).alias("value")) for f, level in levels.items()]
+    hashed = [F.xxhash64(F.lower(F.trim(F.regexp_replace(F.col(f).cast("string"), r"\s+", " ")))).alias(f"_value{k}") for k, f in enumerate(levels)]
+    known = [level.cast("int").alias(f"_level{k}") for k, level in enumerate(levels.values()) if level is not None]
     at = F.unix_micros(F.col(time_col).cast("timestamp"))
-    own = df.select(F.col(id_col).cast("long").alias("id"), at.alias("at"), *[p.alias(f"_{k}") for k, p in enumerate(parts)]).join(members, "id")
-    long = own.select("id", "group_id", "at", F.explode(F.array(*[f"_{k}" for k in range(len(parts))])).alias("p")).select("id", "group_id", "at", "p.*").where("level is not null")
-    return votes(settle(long, "ballots"), half_life)
+    own = df.select(F.col(id_col).cast("long").alias("id"), at.alias("at"), *hashed, *known).join(members, "id")
+    if told is not None:
+        own = own.join(told.select("id", *[F.col(f).cast("int").alias(f"_level{k}") for k, (f, level) in enumerate(levels.items()) if level is None]), "id", "left")
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_level{k}").alias("level"), F.col(f"_value{k}").alias("value")) for k, f in enumerate(levels)])
+    return votes(own.select("id", "group_id", "at", F.explode(parts).alias("p")).select("id", "group_id", "at", "p.*"), half_life)
 
 
 def golden(winners: DataFrame, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -194,11 +194,15 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     asks = asking.select("id", "field", F.posexplode("asks").alias("n", "ask")).where("ask <> 0")
     counts = held.select("norm").mapInPandas(counter(_bitmap(spark, asks)), "ask long, ended long, closed long, more long")
     counts = counts.groupBy("ask").agg(F.sum("ended").alias("ended"), F.sum("closed").alias("closed"), F.sum("more").alias("more"))
-    seen = asks.join(counts, "ask").groupBy("id", "field").agg(F.sort_array(F.collect_list(F.struct("n", "ended", "closed", "more"))).alias("seen"))
+    of = [(c, k) for k in range(len(ORDERS)) for c in ("ended", "closed", "more")]
+    seen = asks.join(counts, "ask").groupBy("id", "field").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for c, k in of])
     # one end of each context is the value itself, one terminator that of the value itself
     self = F.when(F.col("state") == "done", 0).otherwise(1)
-    step = lambda p, s: (s["more"] + kappa * p) / (s["more"] + F.greatest(s["closed"] - (1 - self), F.lit(0)) + end_weight * F.greatest(s["ended"] - self, F.lit(0)) + kappa)
-    going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.aggregate("seen", F.lit(0.5), step)))
+    going = F.lit(0.5)
+    for ended, closed, more in (map(F.col, (f"ended{k}", f"closed{k}", f"more{k}")) for k in range(len(ORDERS))):
+        step = (more + kappa * going) / (more + F.greatest(closed - (1 - self), F.lit(0)) + end_weight * F.greatest(ended - self, F.lit(0)) + kappa)
+        going = F.coalesce(step, going)
+    going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), going))
     surplus = settle(named.groupBy("source", "field", "size").agg(F.count("*").alias("here")), "sizes")
     beside = F.explode(F.array(*[F.col("size") + d for d in (-3, -2, -1, 1, 2, 3)]))
     around = surplus.select("source", "field", beside.alias("size"), F.col("here").alias("near"))
@@ -214,7 +218,7 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     for (language, column), value in (thresholds or {}).items():
         limit = F.when((F.col("lang") == language) & (F.col("field") == column), F.lit(value)).otherwise(limit)
     evidence = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[F.col("state")]
-    odds = F.when(F.col("seen").isNotNull(), odds).otherwise(F.coalesce("surplus", F.lit(0.0))) + evidence
+    odds = F.when(F.coalesce(*[f"more{k}" for k in range(len(ORDERS))]).isNotNull(), odds).otherwise(F.coalesce("surplus", F.lit(0.0))) + evidence
     cut = odds > limit
     return scored.select("id", "field", "source", "lang", odds.alias("log_odds"), cut.alias("is_cut"))
 

@@ -9,7 +9,7 @@ from ruleloom.llm.entity_match import MOST_KINDS, Matching, isotonic, match, sta
 from ruleloom.llm.fieldparse import amounts, edits, learn
 from ruleloom.llm.near_dup import FEATURES, RUNS, Forest, features, joints, near_duplicates, pairs_of, runs, signed, weighted_minhash
 from ruleloom.llm.ruletext import hashed_tokens, tokens
-from ruleloom.llm.survivor import confidence_level, golden, reference_level, shared, survivors
+from ruleloom.llm.survivor import confidence_level, golden, reference_level, shared, survivors, votes
 from ruleloom.llm.truncation import ending, truncated
 
 WORDS = "record value limit total screen report batch ledger office branch copy index month period owner customer amount check rate table".split()
@@ -138,6 +138,18 @@ def test_survivors(spark):
     assert (row["description"], row["confidence"], row["ref"]) == ("whole", "0", "1000-A, lines 1-2")
 
 
+def test_votes_take_one_shuffle_and_levels_from_another_table(spark):
+    df = spark.createDataFrame([(1, "2024-01-01", "whole"), (2, "2024-01-02", "cut"), (3, "2024-01-03", None)], "rid long, at string, v string")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, group_id long")
+    told = spark.createDataFrame([(1, 0), (2, 1)], "id long, v int")
+    got = survivors(df, groups, "rid", "at", {"v": None}, told=told)
+    assert [(r["group_id"], r["field"], r["id"]) for r in got.collect()] == [(1, "v", 1)]
+    long = spark.createDataFrame([(1, "v", i, i % 2, i, 100 - i) for i in range(9)], "group_id long, field string, id long, level int, value long, at long")
+    won = votes(long)
+    assert won.first()["id"] == 0 and won._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert won._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_repeated_values_outvote_with_a_long_half_life(spark):
     rows = [(1, "2024-01-01", "a"), (2, "2024-01-01", "A "), (3, "2024-01-02", "b")]
     df = spark.createDataFrame(rows, "rid long, at string, v string")
