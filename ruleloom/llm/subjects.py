@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,15 +249,16 @@ def sums(vecs: DataFrame, tree: dict[int, np.ndarray], split: dict[int, list[np.
     A task sends one row a leaf, so the driver gets a table of fixed size from each of its few tasks.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            own = np.frombuffer(b"".join(batch["vec"]), dtype=np.float32).reshape(len(batch), -1)
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1)
             node = descend(own, tree)
             for k in map(int, np.unique(node)):
-                part = own[node == k]
+                here = node == k
+                part = own if here.all() else own[here]
                 if k in split:
                     right = rightward(part, split[k])
                     parts = [(2 * k, ~right), (2 * k + 1, right)]
@@ -267,11 +269,12 @@ def sums(vecs: DataFrame, tree: dict[int, np.ndarray], split: dict[int, list[np.
                 for at, own_side in parts:
                     n, total = held.get(at, (0, 0.0))
                     held[at] = n + int(own_side.sum()), total + (own_side.astype(np.float32) @ part).astype(np.float64)
-        yield pd.DataFrame([(k, n, total.tobytes()) for k, (n, total) in held.items()], columns=["node", "n", "total"])
+        columns = [pa.array(list(held), pa.int64()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([total.tobytes() for _, total in held.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "total"])
 
     out: dict[int, tuple[int, np.ndarray]] = {}
     tasks = min(c.most_tasks, vecs.sparkSession.sparkContext.defaultParallelism)
-    for r in vecs.select("vec").coalesce(tasks).mapInPandas(run, "node long, n long, total binary").collect():
+    for r in vecs.select("vec").coalesce(tasks).mapInArrow(run, "node long, n long, total binary").collect():
         n, total = out.get(r["node"], (0, 0.0))
         out[r["node"]] = n + r["n"], total + np.frombuffer(r["total"], dtype=np.float64)
     return out
@@ -294,7 +297,7 @@ def grow(vecs: DataFrame, n_docs: int, c: Clustering) -> dict[int, np.ndarray]:
         split = {k: start(leaves[k][1] / held[k], np.random.default_rng(8 + k)) for k in large}
         for _ in range(c.iterations):
             found = sums(vecs, tree, split, c)
-            split = {k: [found[at][1] / found[at][0] if found.get(at, (0,))[0] else old for at, old in zip((2 * k, 2 * k + 1), two, strict=True)] for k, two in split.items()}
+            split = {k: [(found[at][1] / found[at][0]).astype(np.float32) if found.get(at, (0,))[0] else old for at, old in zip((2 * k, 2 * k + 1), two, strict=True)] for k, two in split.items()}
         for k, two in split.items():
             tree[2 * k], tree[2 * k + 1] = two
 
