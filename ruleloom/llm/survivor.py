@@ -22,6 +22,14 @@ def missing(value: Column) -> Column:
     return value.isNull() | F.lower(F.trim(value)).isin(*PLACEHOLDERS)
 
 
+def folded(value: Column) -> Column:
+    """The value without case and extra white space; only texts that have any go through the regular expression."""
+    extra = value.contains("  ")
+    for c in "\t\n\x0b\f\r":
+        extra = extra | value.contains(c)
+    return F.lower(F.trim(F.when(extra, F.regexp_replace(value, r"\s+", " ")).otherwise(value)))
+
+
 def confidence_level(value: Column) -> Column:
     """0 High, 1 Medium, 2 Low in any spelling or as ordinal; otherwise null."""
     clean = F.lower(F.trim(value))
@@ -69,7 +77,7 @@ def survivors(df: DataFrame, members: DataFrame, id_col: str, time_col: str, lev
     Null levels stand for missing values. A field whose entry is None has its levels in the column of its name of
     ``told``, which has one row an id at most. Texts are hashed before any join.
     """
-    hashed = [F.xxhash64(F.lower(F.trim(F.regexp_replace(F.col(f).cast("string"), r"\s+", " ")))).alias(f"_value{k}") for k, f in enumerate(levels)]
+    hashed = [F.xxhash64(folded(F.col(f).cast("string"))).alias(f"_value{k}") for k, f in enumerate(levels)]
     known = [level.cast("int").alias(f"_level{k}") for k, level in enumerate(levels.values()) if level is not None]
     at = F.unix_micros(F.col(time_col).cast("timestamp"))
     own = df.select(F.col(id_col).cast("long").alias("id"), at.alias("at"), *hashed, *known).join(members, "id")

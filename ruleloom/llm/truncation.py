@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +30,14 @@ ORDERS = (4, 8, 15, 24)
 BITMAP_BITS = 24
 #: Words that stand for a missing text.
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "nil", "-", "--", "tbd", "unknown", "?", ".")
+_LONGEST = max(map(len, PLACEHOLDERS))
 
 _SHAPES = re.compile(rf"(?P<name>\b{DATA_NAME}\b)|(?P<para>\b{PARAGRAPH}\b)|(?P<code>\b[a-z]\d{{2}}\b)|(?P<num>\d[\d,]*(?:\.\d+)?)")
 _NAMES = re.compile(rf"\b(?:{DATA_NAME}|{PARAGRAPH})\b")
 _STAND_FOR = {"name": "\x01", "para": "\x02", "code": "\x03", "num": "\x04"}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes before the first text, so that every place has a window of the longest context.
+_MARGIN = bytes(ORDERS[-1])
 
 
 class Shapes(dict):
@@ -58,11 +58,11 @@ def shape(text: str) -> str:
     return " ".join(map(_shapes.__getitem__, text.lower().split()))
 
 
-def ending(text: str, companions: str) -> tuple[str, str]:
+def ending(text: str, *companions: str | None) -> tuple[str, str]:
     """The shaped text without its ellipsis, and ``done``, ``open`` or ``cut``: what its end looks like.
 
     ``done`` ends with a terminator; ``cut`` ends with an ellipsis, or with the beginning of a name that the
-    companion text (the row's other fields and ``context``) has in full. Both are evidence beside the model's odds.
+    companion texts (the row's other fields and ``context``) have in full. Both are evidence beside the model's odds.
     """
     body = text.strip()
     bare = body.rstrip("…").rstrip()
@@ -74,51 +74,115 @@ def ending(text: str, companions: str) -> tuple[str, str]:
     if norm[-1:] in ".!?":
         return norm, "done"
     last = bare[-60:].rpartition(" ")[2].strip("'\"(),;:\n\r\t").lower().replace("_", "-")
-    if len(last) > 3 and "-" in last and companions:
-        for m in _NAMES.finditer(companions.lower().replace("_", "-")):
+    if len(last) > 3 and "-" in last:
+        for m in _NAMES.finditer(" ".join([t for t in companions if t]).lower().replace("_", "-")):
             if m.group().startswith(last) and len(m.group()) > len(last):
                 return norm, "cut"
     return norm, "open"
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = np.cumprod(np.full(size, _INVERSE, dtype=np.uint64)), np.cumprod(np.full(size, _BASE, dtype=np.uint64))
-    return _powers[size]
-
-
 def _mix(h: np.ndarray, order: int) -> np.ndarray:
+    h = h + _BASE
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * order)
     return h ^ (h >> np.uint64(32))
 
 
-def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    down, up = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=sums[1:])
-    return sums, up
+def _windows(data: bytes) -> np.ndarray:
+    """The eight bytes that begin at each place of the margin and ``data``, as a number."""
+    raw = _MARGIN + data
+    return np.ascontiguousarray(np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,)))
+
+
+def _contexts(windows: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the last ``order`` characters before each place of the data."""
+    at = place + (len(_MARGIN) - 8)
+    h = windows[at]
+    if order < 8:
+        return _mix(h >> np.uint64(64 - 8 * order), order)
+    for back in (*range(16, order, 8), *[order] * (order > 8)):
+        h = (h ^ (h >> np.uint64(32))) * _BASE + windows[at + (8 - back)]
+    return _mix(h, order)
+
+
+VALUES = "id long, field string, source string, lang string, state string, size int, asks array<long>, norm string"
+
+
+def values(fields: list[str]):
+    """mapInArrow: (id, source, lang, the texts of ``fields``, context texts) to the shaped values that are not missing, with
+    their state and the hashes of their final contexts: those before the terminator where there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, own, full, ends = [], [], [], []
+            for i, texts in enumerate(zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)):
+                for k, text in enumerate(texts[: len(fields)]):
+                    bare = (text or "").strip(" ")
+                    if len(bare) <= _LONGEST and bare.lower() in PLACEHOLDERS:
+                        continue
+                    rows.append(i)
+                    own.append(k)
+                    full.append(len(text))
+                    ends.append(ending(text, *texts[:k], *texts[k + 1 :]))
+            norms, states = [e[0] for e in ends], [e[1] for e in ends]
+            texts = [(n.rstrip(".!? ") if s == "done" else n).encode() for n, s in ends]
+            # of the longest context and all shorter ones only the last bytes count
+            tails = [t[-ORDERS[-1] :] for t in texts]
+            sizes = np.array([len(t) for t in tails], dtype=np.int64)
+            windows, at = _windows(b"".join(tails)), np.cumsum(sizes)
+            found = [np.where(n <= sizes, _contexts(windows, at, n).view(np.int64), 0) for n in ORDERS]
+            asks = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * len(ORDERS)), pa.array(np.stack(found, axis=1).ravel()))
+            names = pa.array(fields, pa.string()).take(pa.array(own, pa.int32()))
+            columns = [batch[0].take(pa.array(rows, pa.int32())), names, *(batch[k].take(pa.array(rows, pa.int32())) for k in (1, 2)), pa.array(states, pa.string()), pa.array(full, pa.int32()), asks, pa.array(norms, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in VALUES.split(", ")])
+
+    return run
+
 
+#: Characters that a counting task looks at together, so that its arrays stay in the processor's memory, and log2 of the
+#: contexts that it counts in place; those whose place is taken are sorted.
+AT_ONCE, PLACES = 100_000, 18
 
-VALUES = "id long, field string, source string, lang string, norm string, state string, size int, asks array<long>"
 
+class Tally:
+    """Counts of contexts by the kind of what follows: ended, closed, more. Its size is fixed."""
 
-def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (id, source, lang, field, text, companion) to shaped values with their state and the hashes of their
-    final contexts: those before the terminator where there is one."""
-    for batch in batches:
-        ends = [ending(t, c or "") for t, c in zip(batch["text"].to_pylist(), batch["companion"].to_pylist(), strict=True)]
-        norms, states = [e[0] for e in ends], [e[1] for e in ends]
-        texts = [(n.rstrip(".!? ") if s == "done" else n).encode() for n, s in ends]
-        sums, up = _sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        at = np.cumsum(sizes)
-        own = [np.where(n <= sizes, _mix((sums[at] - sums[np.maximum(at - n, 0)]) * up[at], n).view(np.int64), 0) for n in ORDERS]
-        asks = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * len(ORDERS)), pa.array(np.stack(own, axis=1).ravel()))
-        columns = [batch["id"], batch["field"], batch["source"], batch["lang"], pa.array(norms, pa.string()), pa.array(states, pa.string()), pc.utf8_length(batch["text"]).cast(pa.int32()), asks]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in VALUES.split(", ")])
+    def __init__(self) -> None:
+        self.held = np.zeros(1 << PLACES, dtype=np.uint64)
+        self.counts = np.zeros(3 << PLACES, dtype=np.int64)
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, h: np.ndarray, kind: np.ndarray) -> None:
+        at = (h >> np.uint64(64 - PLACES)).view(np.int64)
+        there = self.held[at]
+        free = there == 0
+        if free.any():
+            self.held[at[free]] = h[free]
+            there = self.held[at]
+        same = there == h
+        if not same.all():
+            self.rest.append((h[~same], kind[~same]))
+            at, kind = at[same], kind[same]
+        np.add.at(self.counts, at * 3 + kind, 1)
+
+    def sorted(self) -> pd.DataFrame:
+        """What found its place taken, which is forgotten."""
+        h, kind = (np.concatenate(x) for x in zip(*self.rest, strict=True)) if self.rest else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        self.rest = []
+        keys, inverse = np.unique(h, return_inverse=True)
+        return self._frame(keys, np.bincount(inverse * 3 + kind, minlength=3 * len(keys)))
+
+    def placed(self) -> pd.DataFrame:
+        at = np.flatnonzero(self.held)
+        return self._frame(self.held[at], self.counts.reshape(-1, 3)[at].ravel())
+
+    @staticmethod
+    def _frame(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        n_of = counts.reshape(-1, 3)
+        return pd.DataFrame({"ask": keys.view(np.int64), "ended": n_of[:, 0], "closed": n_of[:, 1], "more": n_of[:, 2]})
+
+
+_TERMINATOR, _SPACE = (np.isin(np.arange(256), list(x)) for x in (b".!?", b" \n"))
 
 
 def counter(bits: bytes):
@@ -129,37 +193,48 @@ def counter(bits: bytes):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = np.frombuffer(bits, dtype=np.uint8)
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
+        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").view(bool)
+        mask = np.int64((1 << BITMAP_BITS) - 1)
+        tally = Tally()
         for batch in batches:
-            texts = [t.encode() for t in batch["norm"] if t]
-            if not texts:
-                continue
-            data = np.frombuffer(b"\n".join(texts) + b"\n\n", dtype=np.uint8)
-            lengths = np.array([len(t) + 1 for t in texts])
-            begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            sums, up = _sums(data[:-1])
-            # what follows position i: the end of a value, a terminator before white space, or more text
-            after = data[: len(begin)]
-            nxt = data[1 : len(begin) + 1]
-            closed = np.isin(after, np.frombuffer(b".!?", dtype=np.uint8)) & np.isin(nxt, np.frombuffer(b" \n", dtype=np.uint8))
-            kind = np.where(after == 10, 0, np.where(closed, 1, 2)).astype(np.int64)
-            place = np.arange(len(begin))
-            for n in ORDERS:
-                place = place[place - begin[place] >= n]
-                h = _mix((sums[place] - sums[place - n]) * up[place], n)
-                slot = h & mask
-                ok = (wanted[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                place, h = place[ok], h[ok]
-                if not len(place):
-                    break
-                keys, inverse = np.unique(h, return_inverse=True)
-                n_of = np.bincount(inverse * 3 + kind[place], minlength=3 * len(keys)).reshape(-1, 3)
-                yield pd.DataFrame({"ask": keys.view(np.int64), "ended": n_of[:, 0], "closed": n_of[:, 1], "more": n_of[:, 2]})
+            for texts in _blocks([t.encode() for t in batch["norm"] if t]):
+                data = b"\n".join(texts) + b"\n\n"
+                windows, chars = _windows(data), np.frombuffer(data, dtype=np.uint8)
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                # what follows position i: the end of a value, a terminator before white space, or more text
+                kind = 2 - (_TERMINATOR[chars[:-1]] & _SPACE[chars[1:]]).view(np.int8)
+                kind[ends - 1] = 0
+                since = np.arange(ends[-1], dtype=np.int64) - np.repeat(np.r_[0, ends[:-1]], np.diff(ends, prepend=0))
+                place = np.flatnonzero(since >= ORDERS[0])
+                for n in ORDERS:
+                    if n > ORDERS[0]:
+                        place = place[since[place] >= n]
+                    h = _contexts(windows, place, n)
+                    ok = wanted[h.view(np.int64) & mask]
+                    place, h = place[ok], h[ok]
+                    if not len(place):
+                        break
+                    tally.add(h, kind[place])
+            if tally.rest:
+                yield tally.sorted()
+        yield tally.placed()
 
     return run
 
 
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in blocks of about ``AT_ONCE`` characters; a longer one is a block of its own."""
+    block, size = [], 0
+    for text in texts:
+        if block and size + len(text) > AT_ONCE:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
 #: Evidence of an end beside the model's odds of going on: a terminator stands at nearly every end and at one position
 #: in some fifty within a text; an ellipsis or half a name says the opposite with hardly an exception.
 EVIDENCE = {"done": -4.0, "open": 0.0, "cut": 40.0}
@@ -175,34 +250,40 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     count as often as they stand.
     """
     spark = df.sparkSession
-    other = {f: [g for g in fields if g != f] for f in fields}
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.concat_ws(" ", *other[f], *context).alias("companion")) for f in fields])
+    texts = [F.col(f).cast("string").alias(f"text{k}") for k, f in enumerate((*fields, *context))]
     flat = df.select(
         F.col(id_col).cast("long").alias("id"),
         (F.col(source) if source else F.lit(None)).cast("string").alias("source"),
         (F.lower(F.col(lang)) if lang else F.lit("")).cast("string").alias("lang"),
-        F.explode(parts).alias("v"),
-    ).select("id", "source", "lang", "v.*")
-    flat = flat.where(F.col("text").isNotNull() & ~F.lower(F.trim("text")).isin(*PLACEHOLDERS))
-    held = settle(flat.mapInArrow(values, VALUES), "values")
-    named = held.drop("norm", "asks")
+        *texts,
+    )
+    held = settle(flat.mapInArrow(values(fields), VALUES), "values")
+    named = held.drop("norm")
     if sources is not None:
-        named = named.withColumnRenamed("source", "key").join(sources.select("key", "source"), "key", "left").drop("key")
-    asking = held.select("id", "field", "asks")
-    if wanted is not None:
-        asking = settle(asking.join(wanted.select("id"), "id", "left_semi"), "asking")
+        named = named.withColumnRenamed("source", "key").join(_small(sources.select("key", "source")), "key", "left").drop("key")
+    scored = named if wanted is None else settle(named.join(wanted.select("id"), "id", "left_semi"), "asking")
+    asking = (held if wanted is None else scored).select("id", "field", "asks")
     asks = asking.select("id", "field", F.posexplode("asks").alias("n", "ask")).where("ask <> 0")
     counts = held.select("norm").mapInPandas(counter(_bitmap(spark, asks)), "ask long, ended long, closed long, more long")
-    counts = counts.groupBy("ask").agg(F.sum("ended").alias("ended"), F.sum("closed").alias("closed"), F.sum("more").alias("more"))
-    of = [(c, k) for k in range(len(ORDERS)) for c in ("ended", "closed", "more")]
-    seen = asks.join(counts, "ask").groupBy("id", "field").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for c, k in of])
+    counts = settle(counts.groupBy("ask").agg(F.sum("ended").alias("ended"), F.sum("closed").alias("closed"), F.sum("more").alias("more")), "counts")
+    few = _small(counts)
+    if few is not counts:
+        for k in range(len(ORDERS)):
+            of = few.select(F.col("ask").alias(f"ask{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ended", "closed", "more")])
+            scored = scored.join(of, F.col("asks")[k] == F.col(f"ask{k}"), "left").drop(f"ask{k}")
+    else:
+        of = [(c, k) for k in range(len(ORDERS)) for c in ("ended", "closed", "more")]
+        seen = asks.join(counts, "ask").groupBy("id", "field").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for c, k in of])
+        scored = scored.join(seen, ["id", "field"], "left")
     # one end of each context is the value itself, one terminator that of the value itself
     self = F.when(F.col("state") == "done", 0).otherwise(1)
-    going = F.lit(0.5)
+    # a column for each length, as each step names the one before twice
+    scored = scored.withColumn("going", F.lit(0.5))
+    going = F.col("going")
     for ended, closed, more in (map(F.col, (f"ended{k}", f"closed{k}", f"more{k}")) for k in range(len(ORDERS))):
         step = (more + kappa * going) / (more + F.greatest(closed - (1 - self), F.lit(0)) + end_weight * F.greatest(ended - self, F.lit(0)) + kappa)
-        going = F.coalesce(step, going)
-    going = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), going))
+        scored = scored.withColumn("going", F.coalesce(step, going))
+    scored = scored.withColumn("going", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), going)))
     surplus = settle(named.groupBy("source", "field", "size").agg(F.count("*").alias("here")), "sizes")
     beside = F.explode(F.array(*[F.col("size") + d for d in (-3, -2, -1, 1, 2, 3)]))
     around = surplus.select("source", "field", beside.alias("size"), F.col("here").alias("near"))
@@ -210,9 +291,7 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     surplus = surplus.join(around, ["source", "field", "size"], "left")
     surplus = surplus.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.log((F.col("here") + 3) / (F.coalesce("near", F.lit(0.0)) + 3)).alias("surplus"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("size") == F.col("z"))
-    if wanted is not None:
-        named = named.join(wanted.select("id"), "id", "left_semi")
-    scored = named.join(surplus.where("surplus > 1"), same, "left").join(seen, ["id", "field"], "left")
+    scored = scored.join(surplus.where("surplus > 1"), same, "left")
     odds = F.log(going / (1 - going)) + F.coalesce("surplus", F.lit(0.0))
     limit = F.lit(default_threshold)
     for (language, column), value in (thresholds or {}).items():
@@ -223,6 +302,15 @@ def truncated(df: DataFrame, fields: list[str], id_col: str, source: str | None
     return scored.select("id", "field", "source", "lang", odds.alias("log_odds"), cut.alias("is_cut"))
 
 
+#: Tables of up to so many rows of a few numbers or a name are broadcast.
+SMALL_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` itself, or to be broadcast if its rows, which are counted first, are few."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def _bitmap(spark: SparkSession, asks: DataFrame) -> bytes:
     """The bitmap of the low bits of all asked contexts, aggregated on the executors; its size is fixed."""
     slot = asks.select(F.pmod(F.col("ask"), F.lit(1 << BITMAP_BITS)).alias("slot"))

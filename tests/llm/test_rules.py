@@ -1,15 +1,16 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ruleloom.llm import entity_match
+from ruleloom.llm import entity_match, truncation
 from ruleloom.llm.entity_match import MOST_KINDS, Matching, isotonic, match, start_vectors
 from ruleloom.llm.fieldparse import amounts, edits, learn
 from ruleloom.llm.near_dup import FEATURES, RUNS, Forest, features, joints, near_duplicates, pairs_of, runs, signed, weighted_minhash
-from ruleloom.llm.ruletext import hashed_tokens, tokens
-from ruleloom.llm.survivor import confidence_level, golden, reference_level, shared, survivors, votes
+from ruleloom.llm.ruletext import hashed_texts, hashed_tokens, tokens
+from ruleloom.llm.survivor import confidence_level, folded, golden, reference_level, shared, survivors, votes
 from ruleloom.llm.truncation import ending, truncated
 
 WORDS = "record value limit total screen report batch ledger office branch copy index month period owner customer amount check rate table".split()
@@ -189,6 +190,50 @@ def test_cut_texts(spark):
     assert truncated(df.limit(0), ["description", "notes"], "rid", "source").count() == 0
 
 
+def test_texts_hashed_together():
+    texts = ["Set WS-CUST-BAL to 1,200.50 usd", None, "", "-- ?", "a\x00b x\x1cy", "ÄÖ straße ΟΔΟΣ don't 1000-calc-tax", "b a b a", "WS_CUST_BAL (7) 7.0"]
+    words, ends, names, amounts = hashed_texts(texts)
+    got = [(set(w.tolist()), n, a) for w, n, a in zip(np.split(words, ends[:-1]), names, amounts, strict=True)]
+    assert got == [hashed_tokens(t) for t in texts]
+    assert all((np.diff(w.astype(np.int64)) > 0).all() for w in np.split(words, ends[:-1]))
+
+
+def test_contexts_are_counted_once_a_task(monkeypatch):
+    rng = random.Random(5)
+    norms = [" ".join(rng.choice(["end.", "goes on", "x! y?", "of"]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    want = {}
+    for t in filter(None, norms):
+        data = t.encode() + b"\n\n"
+        for n in truncation.ORDERS:
+            for p in range(n, len(t) + 1):
+                h = int(truncation._contexts(truncation._windows(data), np.array([p]), n).view(np.int64)[0])
+                kind = 0 if p == len(t) else 1 if data[p : p + 1] in b".!?" and data[p + 1 : p + 2] in (b" ", b"\n") else 2
+                want.setdefault(h, [0, 0, 0])[kind] += 1
+    batches = [pd.DataFrame({"norm": norms[:100]}), pd.DataFrame({"norm": norms[100:]})]
+    for at_once, places in ((truncation.AT_ONCE, truncation.PLACES), (50, 2)):
+        monkeypatch.setattr(truncation, "AT_ONCE", at_once)
+        monkeypatch.setattr(truncation, "PLACES", places)
+        got = pd.concat(truncation.counter(b"\xff" * (1 << truncation.BITMAP_BITS - 3))(iter(batches)))
+        if places > 2:
+            assert got["ask"].is_unique
+        got = got.groupby("ask").sum()
+        assert {k: list(v) for k, v in zip(got.index, got.to_numpy().tolist(), strict=True)} == want
+
+
+def test_many_counts_are_joined_as_few(spark, monkeypatch):
+    rows = [(i, f"{'the sign is up' if i % 3 else 'no one came'} and the lamp is {'lit' if i % 2 else 'out'}"[: 40 if i % 5 else 30] + ("." if i % 5 else ""), None if i % 4 else "see note", "m") for i in range(200)]
+    df = spark.createDataFrame(rows, "rid long, description string, notes string, source string")
+    run = lambda: sorted((r["id"], r["field"], round(r["log_odds"], 9), r["is_cut"]) for r in truncated(df, ["description", "notes"], "rid", "source", wanted=df.select(F.col("rid").alias("id")).where("id < 150")).collect())
+    few = run()
+    monkeypatch.setattr(truncation, "SMALL_ROWS", 0)
+    assert few == run() and len(few) == 150 + len(range(0, 150, 4))
+
+
+def test_folded_values(spark):
+    df = spark.createDataFrame([("A b",), (" a  b ",), ("a\tb",), ("\na\x0bb\r",), (None,), ("a\u00a0b",)], "v string")
+    assert df.where(~folded(F.col("v")).eqNullSafe(F.lower(F.trim(F.regexp_replace("v", r"\s+", " "))))).count() == 0
+
+
 QUALIFIERS, ENTITIES, MEASURES = ["annual", "joint", "legacy", "branch", "weekly"], ["net pay", "bonus", "levy", "route", "cost centre", "till"], ["cap", "floor", "charge", "grace time"]
 KINDS = {"calculation": ("Compute {}", "the program computes the {f} from {a} of the base"), "validation": ("{} Validation", "input with a {f} beyond {a} is turned away"), "constraint": ("{} Upper Bound", "no entry may carry a {f} over {a}")}
 ENTRY = {"calculation": "System shall compute {f} using {a}.", "validation": "Field check: {f} against {a} on entry.", "constraint": "Upper bound {a} on {f} for all."}
