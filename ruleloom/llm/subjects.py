@@ -27,9 +27,13 @@ from ruleloom.plans.lineage import release, settle
 TERM_BITS = 17
 #: Function words that speak of nothing.
 STOP = frozenset("the and for with from that this then than into its are was were has have had not but all any can may must who which what when where while will would should there their they them these those one two our out over under per via der die das und ein eine einer mit von den dem des ist bei que los las del una con por para end exit move perform pic value select else".split())
-_IDENTIFIER = re.compile(r"[^\W\d_]+|[\x00\x01]")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_NO_LETTER = re.compile(r"[\W\d_]")
+_ASCII = bytes(range(128))
+#: Of the bytes, letters of ASCII, those of other characters and the marks stay; all others become spaces.
+_LETTERS = bytes(b if b > 127 or b < 2 or chr(b).isalpha() else 32 for b in range(256))
+# these begin with a character of their own, which is looked for faster than what stands before it
+_CAMEL = re.compile(r"[A-Z](?<=[a-z][A-Z])")
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*)")
 _COBOL = re.compile(r"\n(?=.{6} (?:[A-Z0-9][A-Z0-9-]*(?: +SECTION| +DIVISION)?\.|0?1 |FD )[^\n]*)", re.IGNORECASE)
 _VB = re.compile(r"\n(?=[ \t]*(?:(?:Public|Private|Friend|Protected|Static|Shared)\s+)*(?:Sub|Function|Property)\b)", re.IGNORECASE)
 _SQL = re.compile(r"\n(?=[ \t]*CREATE\s+(?:OR\s+\w+\s+)?(?:PROC|FUNC))", re.IGNORECASE)
@@ -67,20 +71,30 @@ _MASK = (1 << TERM_BITS) - 1
 
 
 class Words(dict):
-    """Remembers the hashed rows of words, 0 of short and function words; starts anew at half a million."""
+    """Remembers the hashed rows of words (in UTF-8), 0 of short and function words; starts anew at half a million."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, raw: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
+        word = raw.decode()
         if word <= "\x01":
             row = UNIT if word == "\x00" else TEXT
         else:
-            row = 0 if len(word) < 3 or word in STOP else xxhash.xxh32_intdigest(word) % _MASK + 1
-        self[word] = row
+            row = 0 if len(word) < 3 or word in STOP else xxhash.xxh32_intdigest(raw) % _MASK + 1
+        self[raw] = row
         return row
 
 
-_MENTION = re.compile(r"\b(?:perform|go\s+to)\s+[\w-]+|'[^'\n]*'", re.IGNORECASE)
+def words_of(text: str) -> list[bytes]:
+    """The runs of letters and the marks, which stand between spaces, in UTF-8."""
+    raw = text.encode()
+    for c in set(raw.translate(None, _ASCII).decode()):
+        if _NO_LETTER.match(c):
+            raw = raw.replace(c.encode(), b" ")
+    return raw.translate(_LETTERS).split()
+
+
+_MENTION = re.compile(r"[pPgG'](?:(?<=\b[pP])(?i:erform)\s+[\w-]+|(?<=\b[gG])[oO]\s+(?i:to)\s+[\w-]+|(?<=')[^'\n]*')")
 _NO_UNIT = re.compile(r"^.{0,7}\s*(?:PROGRAM-ID|FILE-CONTROL|0?1 |FD )", re.IGNORECASE)
 
 
@@ -117,7 +131,7 @@ def text_terms(texts: list[list[str]], known: Words) -> list[np.ndarray]:
 
     Pairs do not reach over short or function words, nor over the end of a unit.
     """
-    found = _IDENTIFIER.findall("\x01".join("\x00".join(own) for own in texts).lower())
+    found = words_of(" \x01 ".join([" \x00 ".join(own) for own in texts]).lower())
     rows = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     # the end of a text ends its last unit
     last = rows == TEXT
@@ -148,7 +162,7 @@ def reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text, code in zip(part["text"], part["code"], strict=True):
                 text = text.replace("\r", "").replace("\x00", " ").replace("\x01", " ")
                 if code and not (code or "").lower().startswith("cob"):
-                    text = _CAMEL.sub(" ", text)
+                    text = _CAMEL.sub(r" \g<0>", text)
                 own.append(units(text, code))
             yield pd.DataFrame({"id": part["id"], "terms": [t.tobytes() for t in text_terms(own, known)]})
 
@@ -159,14 +173,24 @@ def flatten(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column), dtype=np.uint32).astype(np.int64), sizes
 
 
+def once(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The document, by its place, and the row of each term that a document holds, each once, in blocks in order."""
+    for at in range(0, len(column), 500):
+        flat, sizes = flatten(column.iloc[at : at + 500])
+        # place and row in 32 bits, which are sorted fastest
+        keys = np.sort((np.repeat(np.arange(len(sizes)), sizes) << TERM_BITS | flat).astype(np.uint32))
+        keys = keys[np.diff(keys, prepend=keys[:1] - np.uint32(1)) != 0]
+        yield (keys >> TERM_BITS).astype(np.int64) + at, (keys & _MASK).astype(np.int64)
+
+
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each term row, and all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(1 << TERM_BITS, dtype=np.int64), 0
         for batch in batches:
-            for terms in batch["terms"]:
-                total[np.unique(np.frombuffer(terms, dtype=np.uint32))] += 1
+            for _, rows in once(batch["terms"]):
+                np.add.at(total, rows, 1)
             n += len(batch)
         total[0] = n
         at = np.flatnonzero(total)
@@ -204,7 +228,7 @@ def descend(own: np.ndarray, tree: dict[int, np.ndarray], root: int = 1) -> np.n
         for k in np.unique(node):
             if 2 * k in tree:
                 at = np.flatnonzero(node == k)
-                right = own[at] @ (tree[2 * k + 1] - tree[2 * k]) > (tree[2 * k + 1] @ tree[2 * k + 1] - tree[2 * k] @ tree[2 * k]) / 2
+                right = (own if len(at) == len(own) else own[at]) @ (tree[2 * k + 1] - tree[2 * k]) > (tree[2 * k + 1] @ tree[2 * k + 1] - tree[2 * k] @ tree[2 * k]) / 2
                 node[at] = 2 * k + right
                 moved = True
         if not moved:
@@ -254,7 +278,9 @@ def sums(vecs: DataFrame, tree: dict[int, np.ndarray], split: dict[int, list[np.
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1)
+            column = batch.column(0)
+            first, last = np.frombuffer(column.buffers()[1], dtype=np.int32)[[column.offset, column.offset + batch.num_rows]]
+            own = np.frombuffer(column.buffers()[2], dtype=np.float32, count=(last - first) // 4, offset=first).reshape(batch.num_rows, -1)
             node = descend(own, tree)
             for k in map(int, np.unique(node)):
                 here = node == k
@@ -296,8 +322,11 @@ def grow(vecs: DataFrame, n_docs: int, c: Clustering) -> dict[int, np.ndarray]:
             break
         split = {k: start(leaves[k][1] / held[k], np.random.default_rng(8 + k)) for k in large}
         for _ in range(c.iterations):
-            found = sums(vecs, tree, split, c)
+            found, before = sums(vecs, tree, split, c), split
             split = {k: [(found[at][1] / found[at][0]).astype(np.float32) if found.get(at, (0,))[0] else old for at, old in zip((2 * k, 2 * k + 1), two, strict=True)] for k, two in split.items()}
+            # what no longer moves stays
+            if all(np.array_equal(x, y) for k in split for x, y in zip(before[k], split[k], strict=True)):
+                break
         for k, two in split.items():
             tree[2 * k], tree[2 * k + 1] = two
 
@@ -436,13 +465,15 @@ def fit(docs: DataFrame, subjects: list[tuple[str, str]], labels: DataFrame, c:
     sharp = {k: float(1 + (v * np.log(v)).sum() / np.log(max(2, n_sub))) for k, v in mixtures.items()}
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((1 << TERM_BITS, n_sub))
+        table = np.zeros((n_sub, 1 << TERM_BITS))
+        nothing = np.zeros(n_sub)
         for batch in batches:
-            for terms, k in zip(batch["terms"], batch["leaf"], strict=True):
-                if sharp.get(k, 0) >= c.least_sharp:
-                    table[np.unique(np.frombuffer(terms, dtype=np.uint32))] += mixtures[k] * sharp[k]
-        table[0] = 0
-        yield _emit(table)
+            told = np.array([mixtures[k] * sharp[k] if sharp.get(k, 0) >= c.least_sharp else nothing for k in batch["leaf"]]).reshape(len(batch), n_sub)
+            for doc, rows in once(batch.loc[:, "terms"]):
+                for column, own in zip(table, told.T, strict=True):
+                    np.add.at(column, rows, own[doc])
+        table[:, 0] = 0
+        yield _emit(table.T)
 
     schema = "row long, " + ", ".join(f"v{k} double" for k in range(n_sub))
     counts = _add_up(docs.select("terms", "leaf").mapInPandas(first, schema), n_sub)
@@ -459,13 +490,14 @@ def fit(docs: DataFrame, subjects: list[tuple[str, str]], labels: DataFrame, c:
 
         def again(batches: Iterator[pd.DataFrame], weights: np.ndarray = weights) -> Iterator[pd.DataFrame]:
             table = np.zeros((1 << TERM_BITS, n_sub + 1))
+            weights = np.asfortranarray(weights)
             for batch in batches:
                 for part in (batch.iloc[i : i + 500] for i in range(0, len(batch), 500)):
                     flat, unit, doc, score = scores(part, weights)
                     if len(flat):
                         best, _ = shares(doc, score, leaf_priors(part["leaf"], mixtures, n_sub), c)
                         keys = flat * (n_sub + 1) + np.where(best < 0, n_sub, best)[np.minimum(unit, len(best) - 1)]
-                        table += np.bincount(keys, minlength=table.size).reshape(table.shape)
+                        np.add.at(table.reshape(-1), keys, 1)
             table[0] = 0
             yield _emit(table)
 
@@ -486,10 +518,11 @@ def assign(docs: DataFrame, model: SubjectModel, c: Clustering) -> DataFrame:
     """(id, subject, share, units) of ``docs`` (id, leaf, terms): subjects with enough of the document's speaking units, the largest first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = np.asfortranarray(model.weights)
         for batch in batches:
             rows = []
             for part in (batch.iloc[i : i + 500] for i in range(0, len(batch), 500)):
-                _, _, doc, score = scores(part, model.weights)
+                _, _, doc, score = scores(part, weights)
                 _, count = shares(doc, score, leaf_priors(part["leaf"], model.mixtures, len(model.names)), c) if len(score) else (None, np.zeros((len(part), len(model.names))))
                 total = count.sum(axis=1)
                 for d, k in zip(*np.nonzero(count), strict=True):

@@ -1,11 +1,13 @@
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ruleloom.llm import mixing
+from ruleloom.llm import mixing, subjects
 from ruleloom.llm.leakage import Leakage, lcs_pairs, leaks, longest_run, words
 from ruleloom.llm.mixing import count_tokens, mixture, rates
 from ruleloom.llm.packing import balanced, items, pack
@@ -242,3 +244,25 @@ def test_the_tree_grows_from_all_documents(spark):
     n = [{k: sum(1 for leaf in own.values() if bin(leaf).startswith(bin(k))) for k in tree} for own, tree in zip(leaves, trees, strict=True)]
     assert all(c < 40 or 2 * k in passes or k.bit_length() > 4 for k, c in n[1].items())
     assert set(leaves[1]) == set(range(600)) and abs(len(whole) - len(passes)) <= 8
+
+
+def test_words_are_runs_of_letters_of_any_script():
+    texts = ["Zürich\u2013Fee: naïve_name x2y, ½ 10²", "\ufeffΣίσυφος\u00a0ΟΔΟΣ \u4e2d\u6587\u3002\u0661", "don't a\tb\x1cc\U0001f600d", "", "plain ASCII-words"]
+    joined = " \x01 ".join(" \x00 ".join([t, t]) for t in texts).lower()
+    assert subjects.words_of(joined) == [w.encode() for w in re.findall(r"[^\W\d_]+|[\x00\x01]", joined)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aA.!? \n\t'gopPerfGtm-", max_size=40))
+def test_units_are_cut_where_they_were(text):
+    assert subjects._SENTENCE.split(text) == re.split(r"(?<=[.!?])\s+|\n+", text)
+    assert subjects._CAMEL.sub(r" \g<0>", text) == re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)
+    for t in (text, f"PERFORM {text} go  to {text} 'x' xperform y"):
+        assert subjects._MENTION.sub(" ", t) == re.sub(r"\b(?:perform|go\s+to)\s+[\w-]+|'[^'\n]*'", " ", t, flags=re.IGNORECASE)
+
+
+def test_terms_count_once_a_document():
+    own = [[5, 5, 0, 7, 0], [], [7, 0, 7, 0], [(1 << subjects.TERM_BITS) - 1]] * 400
+    got = [(d, r) for docs, rows in subjects.once(pd.Series([np.array(t, dtype=np.uint32).tobytes() for t in own])) for d, r in zip(docs.tolist(), rows.tolist(), strict=True)]
+    assert got == [(d, r) for d, t in enumerate(own) for r in sorted(set(t))]
+    assert [len(d) for d, _ in subjects.once(pd.Series([b""]))] == [0]
