@@ -6,6 +6,8 @@ come from document frequencies over all documents. A randomised SVD of the weigh
 passages whose latent cosine with an item's passage is high are compared again with the whole term vectors, and
 what remains is aligned word by word: a longest common subsequence, within which a run of the item's words with
 few errors must be found. How many of its telling words (numbers and codes: the answer) agree is reported only.
+Where only leaks are asked for, documents that share no stretch of words with an item, as every leak surely does,
+are left before that (``sure_words``, lossless).
 
 The items are the stated query set: they are taken in blocks of bounded size, each against all documents, so that a
 task holds the vectors of one block only.
@@ -263,9 +265,60 @@ def without_opening(text: str, shared: set[str]) -> list[str]:
     return words(rest) if rest is not None and first in shared else words(text)
 
 
-def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndarray, m: Leakage):
-    """mapInPandas: (id, text) to (item_id, id, run, errors, telling) of aligned pairs."""
+def sure_words(least: int, error_every: int) -> int:
+    """Words in a row that every run of ``least`` words or more repeats without an error; 0 if none are sure.
+
+    The e errors of a run of n words, at most n / error_every, leave n - e words in e + 1 groups at most, one of which
+    holds the average. That is least for the shortest run, or the shortest with one error more.
+    """
+    if error_every < 2:
+        return 0
+    most = [(n, n // error_every) for n in (least, -(-least // error_every) * error_every)]
+    return min(-(-(n - e) // (e + 1)) for n, e in most)
+
+
+def grams(rows: np.ndarray, size: int) -> np.ndarray:
+    """A number for each ``size`` term rows in a row; equal ones have equal numbers."""
+    n = max(0, len(rows) - size + 1)
+    wide, out = rows.astype(np.uint64), np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        out += wide[k : k + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+class Shared:
+    """Which documents share ``size`` words in a row with which items; term rows or numbers that coincide only add some."""
+
+    def __init__(self, items: list[np.ndarray], size: int) -> None:
+        own = [grams(rows, size) for rows in items]
+        numbers = np.concatenate(own)
+        order = np.argsort(numbers, kind="stable")
+        self.size, self.n_items, self.numbers = size, len(items), numbers[order]
+        self.item = np.repeat(np.arange(len(items)), [len(o) for o in own])[order]
+        bits = (16 * len(numbers) + 1).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[numbers >> self.shift] = True
+
+    def __call__(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Documents x items, for documents in blocks: no run reaches over the padding, as no item holds any."""
+        out = np.zeros((len(starts), self.n_items), dtype=bool)
+        here = grams(flat, self.size)
+        at = np.flatnonzero(self.seen[here >> self.shift])
+        first, behind = (np.searchsorted(self.numbers, here[at], side=side) for side in ("left", "right"))
+        n = behind - first
+        doc = np.searchsorted(starts * BLOCK, at, side="right") - 1
+        out[np.repeat(doc, n), self.item[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return out
+
+
+def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndarray, m: Leakage, least: int = 0):
+    """mapInPandas: (id, text) to (item_id, id, run, errors, telling) of aligned pairs; with ``least``, pairs that cannot
+    have a run of so many words may be missing."""
     rows = [np.array([term(w) for w in ws], dtype=np.int32) for _, ws in items]
+    size = sure_words(least, m.error_every)
+    shared = Shared(rows, size) if size else None
     # passages of the items, a third of a block apart
     step = max(1, BLOCK // 3)
     spans = [(k, s) for k, ws in enumerate(rows) for s in range(0, max(1, len(ws) - BLOCK * PASSAGE + step), step)]
@@ -302,8 +355,17 @@ def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndar
             found = []
             for at in range(0, len(batch), 100):
                 part = batch.iloc[at : at + 100]
+                ids = part["id"].tolist()
                 texts = [words(t) for t in part["text"]]
-                flat, starts = blocks([np.fromiter(map(known.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in texts])
+                terms = [np.fromiter(map(known.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in texts]
+                flat, starts = blocks(terms)
+                if shared:
+                    pairs = shared(flat, starts)
+                    kept = np.flatnonzero(pairs.any(axis=1)).tolist()
+                    if not kept:
+                        continue
+                    pairs, ids, texts = pairs[kept], [ids[d] for d in kept], [texts[d] for d in kept]
+                    flat, starts = blocks([terms[d] for d in kept])
                 compact = column[flat]
                 norm = np.sqrt(np.maximum(passages(flat, square), 1e-9))
                 mine = passages(compact, table)
@@ -321,13 +383,14 @@ def searcher(items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndar
                     cosine = np.bincount(posted[at_term], weights=worth[at_term], minlength=len(item_of)) / norm[i]
                     doc = int(np.searchsorted(starts, i, side="right")) - 1
                     for k in np.unique(item_of[cosine >= m.term_cosine]):
-                        regions.setdefault((doc, int(k)), []).append(int(i - starts[doc]))
+                        if not shared or pairs[doc, k]:
+                            regions.setdefault((doc, int(k)), []).append(int(i - starts[doc]))
                 for (doc, k), places in regions.items():
                     best = (0, 0, 0)
                     ws = texts[doc]
                     for first, last in stretches(places):
                         best = max(best, longest_run(items[k][1], ws[max(0, (first - 1) * BLOCK) : (last + PASSAGE + 1) * BLOCK], m.error_every))
-                    found.append((items[k][0], part["id"].iloc[doc], *best))
+                    found.append((items[k][0], ids[doc], *best))
             yield pd.DataFrame(found, columns=["item_id", "id", "run", "errors", "telling"])
 
     return run
@@ -345,9 +408,10 @@ def stretches(places: list[int]) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
-def aligned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, m: Leakage = Leakage()) -> DataFrame:
+def aligned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, m: Leakage = Leakage(), least: int = 0) -> DataFrame:
     """``item_id``, ``id``, ``run``, ``errors``, ``telling`` of every document and item with a similar passage.
 
+    With ``least``, pairs that cannot have a run of so many words may be missing, which spares most of the search.
     Null and empty texts match nothing; a document of any length is read whole; repeated documents match alike.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
@@ -365,12 +429,12 @@ def aligned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
         if not held:
             continue
         basis = randomised_svd(texts, n, [np.array([term(w) for w in ws], dtype=np.int32) for _, ws in held], idf, m)
-        pairs = texts.mapInPandas(searcher(held, idf, basis, m), schema)
+        pairs = texts.mapInPandas(searcher(held, idf, basis, m, least), schema)
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, m: Leakage = Leakage()) -> DataFrame:
     """The aligned pairs that are leaks: a long enough run within the error rate, whichever words the errors are."""
-    found = aligned(docs, items, id_col, text_col, item_col, item_text, m)
+    found = aligned(docs, items, id_col, text_col, item_col, item_text, m, m.least_run)
     return found.where(F.col("run") >= m.least_run)

@@ -7,8 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ruleloom.llm import mixing, subjects
-from ruleloom.llm.leakage import Leakage, lcs_pairs, leaks, longest_run, words
+from ruleloom.llm import leakage, mixing, subjects
+from ruleloom.llm.leakage import Leakage, aligned, lcs_pairs, leaks, longest_run, sure_words, words
 from ruleloom.llm.mixing import count_tokens, mixture, rates
 from ruleloom.llm.packing import balanced, items, pack
 from ruleloom.llm.splitting import family, headers, pieces, split
@@ -166,6 +166,48 @@ def test_run_and_errors():
     assert longest_run(item, ["q"], 8) == (0, 0, 0)
 
 
+def test_words_that_a_leak_surely_repeats():
+    """The bound holds for errors of every kind, and is met where they part the run evenly."""
+    assert [sure_words(*x) for x in [(25, 8), (32, 8), (33, 8), (25, 100), (8, 8), (25, 2), (25, 1), (25, 0), (0, 8)]] == [6, 6, 6, 25, 4, 1, 0, 0, 0]
+    rng, least, seen = random.Random(8), 25, set()
+    for _ in range(400):
+        item = [f"a{i}" for i in range(60)]
+        doc = item[rng.randrange(20) : 60 - rng.randrange(20)]
+        for at in range(rng.randrange(3, 9), len(doc), rng.randrange(4, 12)):
+            doc[at : at + rng.randrange(2)] = ["x"] * rng.randrange(2)
+        run, errors, _ = longest_run(item, doc, 8)
+        if run >= least:
+            held = {tuple(doc[i : i + 6]) for i in range(len(doc) - 5)}
+            assert any(tuple(item[i : i + 6]) in held for i in range(55))
+            seen.add(errors)
+    assert {1, 2, 3} <= seen
+
+
+def test_only_texts_that_may_leak_are_aligned(spark, monkeypatch):
+    item = [f"w{i}" for i in range(60)]
+    errors = [f"x{i}" if i in (6, 12, 19) else w for i, w in enumerate(item[10:35])]
+    texts = [[*item[45:], *errors], [w for i in range(0, 60, 5) for w in reversed(item[i : i + 5])], ["other"] * 50, item[:6], item[20:50]]
+    calls, run = [], leakage.longest_run
+    monkeypatch.setattr(leakage, "longest_run", lambda *x: calls.append(x) or run(*x))
+    idf, rng = np.ones(1 << leakage.TERM_BITS, dtype=np.float32), np.random.default_rng(1)
+    idf[0], basis = 0, rng.normal(size=(1 << leakage.TERM_BITS, 8)).astype(np.float32)
+    docs = pd.DataFrame({"id": range(5), "text": [" ".join(t) for t in texts]})
+
+    def found(*least):
+        calls.clear()
+        return pd.concat(leakage.searcher([(7, item)], idf, basis, Leakage(latent_cosine=0.01), *least)(iter([docs]))), len(calls)
+
+    every, n_every = found()
+    most, n_most = found(25)
+    assert set(every["id"]) >= {0, 1, 4} and not set(most["id"]) & {1, 2}
+    assert n_most < n_every
+    as_rows = lambda f: f[f["run"] >= 25].astype(int).to_numpy().tolist()
+    assert as_rows(most) == as_rows(every) and [r[1:3] for r in as_rows(most)] == [[0, 25], [4, 30]]
+    df, it = spark.createDataFrame(docs), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r["id"] for r in leaks(df, it, "id", "text", "item_id", "text").collect()} == {0, 4}
+    assert 1 in {r["id"] for r in aligned(df, it, "id", "text", "item_id", "text").collect()}
+
+
 def test_mixture(spark):
     docs = [(i, "big" if i % 10 else " Small ", "word " * (5 + i % 7)) for i in range(4000)] + [(9000, None, "a b"), (9001, "big", None), (9002, "big", ""), (9003, "other", "x y")]
     df = spark.createDataFrame(docs, "id long, source string, text string")
