@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,40 @@ def test_references_list_each_symbol_of_other_files_once(spark, most):
     assert blocks == {i: "\n".join(f"{f}: {', '.join(sorted(own[f]))}" for f in sorted(own)) for i, own in lines.items()}
 
 
+def test_references_of_a_common_symbol_take_little_room(spark, tmp_path):
+    names = [f"f{k}" for k in range(3001)]
+    df = spark.createDataFrame([(i, names[7 * i], "call Get and get") for i in range(300)], "id long, name string, text string")
+    syms = spark.createDataFrame([(n, "Get" if k % 3 else "GET") for k, n in enumerate(names)], "name string, symbol string")
+    out = profile.references(df, syms)
+    out.write.parquet(str(tmp_path / "r"))
+    got = spark.read.parquet(str(tmp_path / "r"))
+    assert got.count() == got.distinct().count() == 300 * 3000
+    assert got.join(df, (df["id"] == got["id"]) & (df["name"] == got["file"])).count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "r").glob("*.parquet")) < 0.4 * 300 * 3000
+
+
+@pytest.mark.parametrize(("run", "listed"), [(1, 3), (8, 5), (16, 1 << 16)])
+def test_references_are_whole_whatever_the_runs(monkeypatch, run, listed):
+    rng = random.Random(9)
+    cell = [(i, f"f{rng.randint(0, 12)}") for i in range(37)]
+    own = [(f"f{k}", s) for k in range(10) for s in ("a", "A")[: 1 + k % 2]]
+    monkeypatch.setattr(profile, "RUN", run)
+    monkeypatch.setattr(profile, "LISTED", listed)
+    arrays = [[c.to_pylist() for c in x] for x in profile._listed(pa.array([i for i, _ in cell]), [n for _, n in cell], *map(list, zip(*own, strict=True)))]
+    got = [r for x in arrays for r in zip(*x, strict=True)]
+    assert sorted(got) == sorted((i, f, s) for i, n in cell for f, s in own if f != n)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_occurrences_of_symbols_that_begin_alike(spark, most):
+    known = ["old_rate", "old_rates", "old_rate_x", "old_", "ol", "o", "rate", "rates_", "aaaaaa", "aaaaaaa", "é-rate-é", "get"]
+    texts = ["old_rate", "xold_rate_xy rates", "aaaaaaaa", "ol", "", "é-rate-é", "get" * 40, "old_rates_" * 30, None]
+    held = spark.createDataFrame([(i, "n", t) for i, t in enumerate(texts)], "id long, name string, folded_text string")
+    folded = spark.createDataFrame([(k,) for k in known], "folded string")
+    got = [(r["id"], r["folded"]) for r in profile.occurrences(held, folded, most).collect()]
+    assert sorted(got) == sorted((i, k) for i, t in enumerate(texts) for k in known if t and k in t)
+
+
 @pytest.mark.parametrize("common", [0, 4, 100])
 def test_lines_laid_out_once_equal_those_made_anew(monkeypatch, common):
     monkeypatch.setattr(profile.ReferenceLines, "COMMON", common)
